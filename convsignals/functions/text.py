@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,29 +101,39 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``.
+
+    An expression that a lambda refers to is otherwise evaluated again for every array element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of a token array for low <= n <= high, joined with one space."""
 
-    def of_size(n: int) -> Column:
+    def of_size(t: Column, n: int) -> Column:
         return F.when(
-            F.size(tokens) >= n,
+            F.size(t) >= n,
             F.transform(
-                F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                lambda i: F.array_join(F.slice(tokens, i, n), " "),
+                F.sequence(F.lit(1), F.size(t) - (n - 1)),
+                lambda i: F.array_join(F.slice(t, i, n), " "),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    parts = [tokens if n == 1 else of_size(n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def all_sizes(t: Column) -> Column:
+        parts = [t if n == 1 else of_size(t, n) for n in range(low, high + 1)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return once(tokens, all_sizes)
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams inside words padded by one space; a word shorter than n counts once."""
     words = F.split(strip(F.lower(text)), SPACES)
 
-    def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(word) + 2
+    def of_padded(padded: Column) -> Column:
+        size = F.length(padded)
         return F.flatten(
             F.transform(
                 F.sequence(F.lit(low), F.least(F.lit(high), size)),
@@ -132,7 +143,8 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
             )
         )
 
-    return F.flatten(F.transform(F.filter(words, lambda w: w != ""), of_word))
+    padded = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, of_padded))
 
 
 def percent_tag(fraction: Column) -> Column:
@@ -150,10 +162,14 @@ def format_id(number: Column, prefix: str) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(weights, lambda w: w / total)
+    def shifted(x: Column) -> Column:
+        return once(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+    def shares(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+        return once(total, lambda t: F.transform(weights, lambda w: w / t))
+
+    return once(once(logits, shifted), shares)
 
 
 def argmax(values: Column) -> Column:

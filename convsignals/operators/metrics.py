@@ -200,7 +200,7 @@ def earliest_reaching(
     def first(conditions: Sequence[tuple[str, float]]) -> Column:
         met = reduce(lambda a, b: a & b, [F.col(m) >= v for m, v in conditions])
         pct = F.min(F.when(met, F.col("fraction"))) * 100
-        return F.coalesce(F.format_string("%d%%", pct.cast("int")), F.lit("not reached"))
+        return F.coalesce(F.concat(pct.cast("int").cast("string"), F.lit("%")), F.lit("not reached"))
 
     rows = [
         F.struct(F.lit(name).alias("threshold"), first(c).alias("earliest"))

@@ -46,8 +46,7 @@ def _conversation_rules() -> list[Column]:
         _violation((F.size(messages) > 0) & ~first.eqNullSafe("customer"), "first_role", first),
         *[
             _violation(
-                (F.size(messages) > 0) & ~F.exists(messages, lambda m, r=role: m["role"].eqNullSafe(r)),
-                f"no_{role}",
+                (F.size(messages) > 0) & ~F.array_contains(F.col("messages.role"), role), f"no_{role}"
             )
             for role in S.ROLES
         ],

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convsignals.plans.catalog import messages
+from convsignals.plans.catalog import corpus, messages, outcomes
 
-FAMILIES = [messages]
+FAMILIES = [messages, outcomes, corpus]
 
 
 def all_queries() -> dict:

@@ -213,7 +213,7 @@ _NORM = (
 _NORM = _NORM.replace('\\"', '"')
 
 
-def _clean(x: str, numbers: bool) -> str:
+def clean_sql(x: str, numbers: bool) -> str:
     x = rf"regexp_replace({x}, '(?i)(https?://\S+|www\.\S+)', ' <URL> ', 'g')"
     x = rf"regexp_replace({x}, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+', ' <EMAIL> ', 'g')"
     if numbers:
@@ -222,6 +222,8 @@ def _clean(x: str, numbers: bool) -> str:
     return _strip(rf"regexp_replace(lower({x}), '\s+', ' ', 'g')")
 
 
+NORM_SQL = _strip(f"regexp_replace({_NORM}, '[.!,;:]+$', '')")
+
 ORACLES = {
     "session_outcome_summary": f"""{_FEATURES_TIMED}, {c.OUTCOMES},
 feats AS (SELECT cid, {c.feature_sql(SUMMARY_FEATURES).replace("round(", "(").replace(", 6)", ")")} FROM sig GROUP BY cid)
@@ -266,9 +268,9 @@ s AS (SELECT *, CASE WHEN substr(md5(CAST(cid AS VARCHAR)), 1, 1) < 'b' THEN 'tr
 m AS (SELECT {", ".join(f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) > 1e-12 THEN stddev_pop({n}) ELSE 1.0 END AS s_{n}" for n in SCALED)}
   FROM s WHERE split = 'train')
 SELECT cid AS conversation_id, split, {", ".join(f"round(({n} - m_{n}) / s_{n}, 6) AS {n}" for n in SCALED)} FROM s, m""",
-    "normalize_text": f"SELECT doc_id, {_strip(f'''regexp_replace({_NORM}, '[.!,;:]+$', '')''')} AS norm FROM documents",
-    "clean_text": f"SELECT doc_id, {_clean('text', True)} AS cleaned FROM documents",
-    "clean_pages": f"""SELECT page_id, {_clean("(url || ' ' || html)", False)} AS cleaned FROM pages""",
+    "normalize_text": f"SELECT doc_id, {NORM_SQL} AS norm FROM documents",
+    "clean_text": f"SELECT doc_id, {clean_sql('text', True)} AS cleaned FROM documents",
+    "clean_pages": f"""SELECT page_id, {clean_sql("(url || ' ' || html)", False)} AS cleaned FROM pages""",
     "json_props": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   json_extract_string(props, '$.a.b') AS missing FROM events""",
     "final_scores": f"""WITH {c.TIMED}
