@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convsignals.plans.catalog import corpus, messages, outcomes
+from convsignals.plans.catalog import corpus, learning, messages, outcomes, streams
 
-FAMILIES = [messages, outcomes, corpus]
+FAMILIES = [messages, outcomes, corpus, learning, streams]
 
 
 def all_queries() -> dict:

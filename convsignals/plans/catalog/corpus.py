@@ -252,13 +252,13 @@ def in_conversation_repeats(spark, folder):
 def turn_fuzzy_matches(spark, folder):
     """Best fuzzy match of every distinct turn text among all turns of the corpus."""
     index = dp.message_index(dp.with_norm(c.turns(spark, folder)))
-    return c.rounded(dp.best_fuzzy_matches(index, index))
+    return c.rounded(dp.best_fuzzy_matches(index, index, same=True))
 
 
 def fuzzy_matches(spark, folder):
     """Best fuzzy match of every distinct document text among all documents."""
     index = dp.message_index(_normed_documents(spark, folder))
-    return c.rounded(dp.best_fuzzy_matches(index, index))
+    return c.rounded(dp.best_fuzzy_matches(index, index, same=True))
 
 
 def benchmark_matches(spark, folder):
