@@ -19,7 +19,13 @@ URL = r"(?iU)(https?://\S+|www\.\S+)"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)?"
 NON_TEXT = r"""(?U)[^\p{L}\p{N}_\s.,!?;:'"\-()<>\[\]]"""
-SPACES = r"(?U)\s+"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+# Every character that counts as space, for trimming ends.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+END_MARKS = ".!,;:"
 # The emoji class: joiner, watch, eject, fast-forward, and all from U+24C2 on.
 EMOJI_RUN = r"[\x{200D}\x{231A}\x{23CF}\x{23E9}\x{24C2}-\x{10FFFF}]+"
 GENDER_SLASH_STRICT = r"[א-ת]{2,}/[א-ת]{1,2}(?=[^א-ת]|$)"
@@ -29,7 +35,7 @@ HEBREW_LETTER = r"[א-ת]"
 
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -46,7 +52,7 @@ def normalized(text: Column) -> Column:
     """Comparison key of a message: composed, one kind of quote, single spaces, no end marks."""
     key = collapse_spaces(nfc(strip(text)))
     key = F.translate(key, "“”‘’״׳", "\"\"''\"'")
-    return strip(F.regexp_replace(key, r"[.!,;:]+$", ""))
+    return strip(F.rtrim(key, F.lit(END_MARKS)))
 
 
 def cleaned(

@@ -33,7 +33,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    return tb.turn_messages(tb.table(spark, folder, "conversations"))
+    return tb.turn_messages(tb.text_table(spark, folder, "conversations"))
 
 
 def timed(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,11 +41,11 @@ def timed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return tb.labelled_text(tb.table(spark, folder, "documents"), tb.table(spark, folder, "labels"))
+    return tb.labelled_text(tb.text_table(spark, folder, "documents"), tb.table(spark, folder, "labels"))
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return tb.rule_predictions(tb.table(spark, folder, "documents"), tb.table(spark, folder, "labels"))
+    return tb.rule_predictions(tb.text_table(spark, folder, "documents"), tb.table(spark, folder, "labels"))
 
 
 def sql_string(value: str) -> str:

@@ -19,7 +19,7 @@ from convsignals.sources import tables as tb
 
 
 def _documents(spark, folder):
-    return tb.table(spark, folder, "documents")
+    return tb.text_table(spark, folder, "documents")
 
 
 # ------------------------------------------------------------------- profile
@@ -34,7 +34,7 @@ def top_sources(spark, folder):
 
 def id_counts(spark, folder):
     """Turns by conversation id: every id of a longer conversation repeats."""
-    return pf.id_counts(tb.table(spark, folder, "conversations"), "conv_id")
+    return pf.id_counts(tb.text_table(spark, folder, "conversations"), "conv_id")
 
 
 def length_percentiles(spark, folder):
@@ -270,7 +270,7 @@ def benchmark_matches(spark, folder):
 
 # ---------------------------------------------------------------- similarity
 def tfidf_weights(spark, folder):
-    docs = tb.table(spark, folder, "documents").select("doc_id", "text")
+    docs = tb.text_table(spark, folder, "documents").select("doc_id", "text")
     return c.rounded(tf.document_weights(docs, "doc_id", tf.word_terms(F.col("text"))).drop("df"))
 
 
@@ -286,7 +286,7 @@ def _conversation_documents(spark, folder):
 
 
 def similar_conversations(spark, folder):
-    return c.rounded(sm.most_similar(_conversation_documents(spark, folder), "conversation_id", 60.0), 4)
+    return c.rounded(sm.most_similar(_conversation_documents(spark, folder), "conversation_id"), 4)
 
 
 def benchmark_similarity(spark, folder):
@@ -463,7 +463,7 @@ docs AS (SELECT cid AS id, concat_ws(' ', domain, interest_trajectory, final_out
 raw AS (SELECT id, gram, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (gram)),
 vec AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
 sims AS (SELECT a.id, b.id AS other, sum(a.w * b.w) AS s FROM vec a JOIN vec b ON a.gram = b.gram AND a.id <> b.id GROUP BY 1, 2)
-SELECT id AS conversation_id, round(s * 100, 4) AS score, other AS match FROM sims WHERE s >= 0.6 - 1e-9
+SELECT id AS conversation_id, round(s * 100, 4) AS score, other AS match FROM sims WHERE s >= 0.82 - 1e-9
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, other) = 1""",
     "benchmark_similarity": f"""WITH docs AS (SELECT 'b' || item_id AS id, text AS document FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM documents),
 {_grams("docs")}, {_vectors("(SELECT * FROM tf WHERE id[1] = 'b')", "benchmark")},

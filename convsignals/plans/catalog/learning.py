@@ -42,7 +42,7 @@ def text_classifier_metrics(spark, folder):
 def text_classifier_predictions(spark, folder):
     """Probabilities for all documents from a model trained on the labelled ones."""
     run = text_baseline.run(c.labelled(spark, folder), c.QUALITY_MAPPING, "losing_interest", max_iter=100)
-    docs = tb.table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("raw_text"))
+    docs = tb.text_table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("raw_text"))
     return text_baseline.score_new(run.model, docs)
 
 
@@ -99,7 +99,7 @@ def _length_model():
 
 
 def external_model_scores(spark, folder):
-    docs = tb.table(spark, folder, "documents").select("doc_id", "text")
+    docs = tb.text_table(spark, folder, "documents").select("doc_id", "text")
     scored = md.logits_to_predictions(md.score_texts(docs, _length_model), c.CLASSES)
     return c.rounded(scored.select("doc_id", "predicted_label", *[f"probability_{n}" for n in c.CLASSES]), 4)
 

@@ -71,7 +71,7 @@ def message_signals(spark, folder):
 
 
 def document_signals(spark, folder):
-    docs = tb.table(spark, folder, "documents")
+    docs = tb.text_table(spark, folder, "documents")
     return c.rounded(lx.with_message_signals(docs, lx.LATIN).select("doc_id", *S.SIGNAL_NAMES))
 
 
@@ -108,23 +108,23 @@ def standardized_features(spark, folder):
 
 
 def normalize_text(spark, folder):
-    docs = tb.table(spark, folder, "documents")
+    docs = tb.text_table(spark, folder, "documents")
     return docs.select("doc_id", tx.normalized(F.col("text")).alias("norm"))
 
 
 def clean_text(spark, folder):
-    docs = tb.table(spark, folder, "documents")
+    docs = tb.text_table(spark, folder, "documents")
     return docs.select("doc_id", tx.cleaned(F.col("text"), phones=False, numbers=True).alias("cleaned"))
 
 
 def clean_pages(spark, folder):
-    pages = tb.table(spark, folder, "pages")
+    pages = tb.text_table(spark, folder, "pages")
     both = F.concat_ws(" ", "url", "html")
     return pages.select("page_id", tx.cleaned(both, phones=False).alias("cleaned"))
 
 
 def clean_text_phones(spark, folder):
-    docs = tb.table(spark, folder, "documents")
+    docs = tb.text_table(spark, folder, "documents")
     return docs.select("doc_id", tx.cleaned(F.col("text")).alias("cleaned"))
 
 

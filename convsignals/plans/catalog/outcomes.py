@@ -23,7 +23,7 @@ POSITIVE = "losing_interest"
 
 def _records(spark, folder):
     """Every document with its label where it has one, and whether it is in the subset."""
-    docs = tb.table(spark, folder, "documents")
+    docs = tb.text_table(spark, folder, "documents")
     labels = tb.table(spark, folder, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("record_id"),
@@ -96,7 +96,7 @@ def split_statistics(spark, folder):
 def split_overlap(spark, folder):
     """Overlap of a faulty assignment: copies of one text may fall into different splits."""
     ids = stratified_split(spark, folder).join(
-        tb.table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.md5("text").alias("text_key")),
+        tb.text_table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.md5("text").alias("text_key")),
         "record_id",
     )
     return c.rounded(sp.overlapping_ids(ids, "text_key"))

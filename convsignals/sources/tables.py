@@ -27,6 +27,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process. One stored in fewer splits than there are cores is
+    dealt out to all of them first; a table of many splits is read as it is."""
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def mapped(column: Column, pairs: dict[str, str], default: Column | None = None) -> Column:
     """A constant lookup inside the projection instead of a join."""
     chain = None
