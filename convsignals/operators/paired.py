@@ -240,6 +240,7 @@ def mcnemar(counts: DataFrame) -> DataFrame:
         "b",
         "c",
         "n_disagreements",
+        "p",
         F.bround("p", 6).alias("p_value"),
         F.bround(F.try_divide(corrected, F.col("n_disagreements").cast("double")), 4).alias("chi2"),
         (F.col("p") < 0.05).alias("significant_05"),
@@ -249,7 +250,7 @@ def mcnemar(counts: DataFrame) -> DataFrame:
 
 def summary(observed: DataFrame, bootstrap: DataFrame, tests: DataFrame) -> DataFrame:
     """One row per fraction with all statistics and the verdict."""
-    return with_verdict(observed.join(bootstrap, "fraction").join(tests, "fraction"))
+    return with_verdict(observed.join(bootstrap, "fraction").join(tests.drop("p"), "fraction"))
 
 
 def with_verdict(table: DataFrame) -> DataFrame:

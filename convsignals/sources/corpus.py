@@ -39,12 +39,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = CONVE
 def read_json_lines_with_rejects(
     spark: SparkSession, path: str, schema: T.StructType = CONVERSATION_SCHEMA
 ) -> tuple[DataFrame, DataFrame]:
-    """Good rows and the malformed lines with their file."""
+    """Good rows, and the malformed lines with their file. Blank lines count as neither."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("line"))
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = lines.withColumn("r", F.from_json("value", wide, options))
+    good = rows.where(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema])
+    bad = rows.where(F.col(f"r.{CORRUPT}").isNotNull()).select("file", F.col("value").alias("line"))
     return good, bad
 
 
