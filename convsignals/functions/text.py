@@ -43,16 +43,29 @@ def collapse_spaces(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in for it."""
+def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
 
 
+# Declared non-deterministic so that the optimizer never copies it into a filter and a projection;
+# a text is then composed once, and everything after reads the result.
+_compose_once = _compose.asNondeterministic()
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition; Spark has no built-in for it."""
+    return _compose_once(text)
+
+
 def normalized(text: Column) -> Column:
-    """Comparison key of a message: composed, one kind of quote, single spaces, no end marks."""
-    key = collapse_spaces(nfc(strip(text)))
-    key = F.translate(key, "“”‘’״׳", "\"\"''\"'")
-    return strip(F.rtrim(key, F.lit(END_MARKS)))
+    """Comparison key of a message: composed, one kind of quote, single spaces, no end marks.
+
+    Composition is the outermost step, so that later filters and hashes read its result instead of
+    repeating the expressions. It commutes with the other steps but for U+037E, which composes to a
+    semicolon and is therefore replaced beforehand.
+    """
+    key = F.translate(collapse_spaces(strip(text)), "“”‘’״׳\u037e", "\"\"''\"';")
+    return nfc(strip(F.rtrim(key, F.lit(END_MARKS))))
 
 
 def cleaned(

@@ -15,6 +15,7 @@ from convsignals.operators import tfidf as tf
 from convsignals.operators import validate as vl
 from convsignals.plans.catalog import common as c
 from convsignals.plans.catalog.messages import NORM_SQL
+from convsignals.session import stored
 from convsignals.sources import tables as tb
 
 
@@ -38,7 +39,7 @@ def id_counts(spark, folder):
 
 
 def length_percentiles(spark, folder):
-    return c.rounded(pf.length_profile(pf.conversation_sizes(c.turns(spark, folder))))
+    return c.rounded(pf.length_profile(stored(pf.conversation_sizes(c.turns(spark, folder)))))
 
 
 def truncation_shares(spark, folder):

@@ -13,6 +13,7 @@ from convsignals.operators import labels as lb
 from convsignals.operators import profile as pf
 from convsignals.operators import standardize as st
 from convsignals.plans.catalog import common as c
+from convsignals.session import stored
 from convsignals.sources import tables as tb
 
 SUMMARY_FEATURES = [
@@ -93,7 +94,7 @@ def prefix_behavior_features(spark, folder):
 
 
 def feature_statistics(spark, folder):
-    features = bh.behavioral_features(_with_length(c.timed(spark, folder)), S.PURE_FEATURES)
+    features = stored(bh.behavioral_features(_with_length(c.timed(spark, folder)), S.PURE_FEATURES))
     return c.rounded(pf.feature_statistics(features, S.PURE_FEATURES))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Aggregates with medians keep hashing beyond the default of 128 groups before they sort.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -22,7 +25,9 @@ def local_session(cores: int | str = 8, app: str = "convsignals", **overrides: s
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in {
         **SETTINGS,
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
+        # Small test data would otherwise be merged into one task per stage.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.memory": "12g",
         **overrides,
     }.items():
@@ -46,3 +51,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()
     return current
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared checkpoint folder and read it back.
+
+    For results that several later passes use: they survive lost executors, and the reader knows
+    their size when it plans joins.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
