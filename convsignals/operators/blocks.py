@@ -71,13 +71,19 @@ def with_key_size(
 
 
 def lookup_join(
-    left: DataFrame, lookup: DataFrame, key: str, weight: str, how: str = "left", row_id: str | None = None
+    left: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    weight: str,
+    how: str = "left",
+    row_id: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Join rows to a table that holds one row per key, with the number of rows behind each key.
 
     The ``HEAVY_KEYS`` heaviest keys (a fixed bound, so broadcasting them is safe at any size) meet
     their rows without a shuffle. The other rows go by key: none of those keys can hold more than
-    1/HEAVY_KEYS of the table. Rows already met are spread by ``row_id``.
+    1/HEAVY_KEYS of the table. Rows already met are spread by a hash of ``row_id``, one or more columns
+    that tell the rows apart (all columns if not given).
     """
     values = [c for c in lookup.columns if c not in (key, weight)]
     heavy = lookup.orderBy(F.desc(weight), key).limit(HEAVY_KEYS)
@@ -85,7 +91,8 @@ def lookup_join(
         F.col(key), F.lit(True).alias("_met"), *[F.col(c).alias(f"_heavy_{c}") for c in values]
     )
     first = left.join(F.broadcast(heavy), key, "left")
-    spread = F.xxhash64(F.col(row_id)) if row_id else F.lit(None).cast("long")
+    apart = [row_id] if isinstance(row_id, str) else list(row_id or left.columns)
+    spread = F.xxhash64(*[F.col(c) for c in apart])
     first = first.withColumn(
         "_slot", F.when(F.col("_met"), spread).otherwise(F.xxhash64(F.col(key)))
     )

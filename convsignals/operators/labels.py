@@ -94,14 +94,16 @@ def baseline_dataset(
     return keep_large_classes(rows, min_per_class)
 
 
-def keep_large_classes(rows: DataFrame, min_per_class: int = 2, label: str = "label") -> DataFrame:
+def keep_large_classes(
+    rows: DataFrame, min_per_class: int = 2, label: str = "label", row_id: str = "record_id"
+) -> DataFrame:
     """Drop the rows of classes below the minimum size.
 
     Classes are few and each holds many rows, so rows are never shuffled by class: the largest
     classes are matched by broadcast and only the rows of the rest move.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_per_class)
-    return lookup_join(rows, sizes, label, "_size", how="semi")
+    return lookup_join(rows, sizes, label, "_size", how="semi", row_id=row_id)
 
 
 def label_distribution(

@@ -33,7 +33,7 @@ def test_lookup_join_splits_heavy_keys(spark, monkeypatch):
     for how, expected in (("left", 32), ("inner", 31), ("semi", 31)):
         got = bk.lookup_join(rows, lookup, "k", "n", how, row_id="id").collect()
         assert len(got) == expected and len({r["id"] for r in got}) == expected
-    values = {r["id"]: r["v"] for r in bk.lookup_join(rows, lookup, "k", "n", row_id="id").collect()}
+    values = {r["id"]: r["v"] for r in bk.lookup_join(rows, lookup, "k", "n").collect()}
     assert values[3] == "H" and values[90] == "C" and values[91] is None
 
 
