@@ -17,9 +17,7 @@ SHARES = [
     "symbol_share",
     "dup_line_share",
     "repeat_share",
-    "upper_share",
-    "mark_share",
-    "digit_share",
+    "shout_share",
     "line_words",
 ]
 
@@ -37,28 +35,27 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shuffled, and a very long text costs n log n of its words at most.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("ws", F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), ""))
-    d = d.withColumn("ls", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    d = d.select(
+        "doc_id",
+        F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "").alias("ws"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("ls"),
+        _without(F.col("text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
+        _without(F.col("text"), "[A-Z]{2,}").cast("double").alias("n_shout"),
+    )
     d = d.select(
         "doc_id",
         F.size("ws").cast("long").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
-        _without(F.col("text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
-        _without(F.col("text"), "[A-Z]").cast("double").alias("n_upper"),
-        _without(F.col("text"), "[!?]").cast("double").alias("n_marks"),
-        _without(F.col("text"), "[0-9]").cast("double").alias("n_digits"),
+        "n_symbols",
+        "n_shout",
         F.size("ls").alias("n_lines"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
-        F.when(
-            F.size("ws") >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(0), F.size("ws") - WINDOW),
-                lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(WINDOW)]),
-            ),
-        )
-        .otherwise(F.array().cast("array<long>"))
-        .alias("hs"),
+        F.transform("ws", lambda w: F.xxhash64(w)).alias("h1"),
+    )
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size("h1") - WINDOW), lambda i: F.xxhash64(*[F.get("h1", i + k) for k in range(WINDOW)])
     )
+    d = d.withColumn("hs", F.when(F.size("h1") >= WINDOW, windows).otherwise(F.array().cast("array<long>"))).drop("h1")
     d = d.withColumn("some_repeat", F.size(F.array_distinct("hs")) < F.size("hs"))
     # Only texts with a repeated window sort: neighbours in (hash, place) order with one hash are repeats, and the words
     # they cover are the union of [p, p + WINDOW) over the repeated places p.
@@ -90,8 +87,6 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"),
-        share("n_upper", "word_chars").alias("upper_share"),
-        share("n_marks", "word_chars").alias("mark_share"),
-        share("n_digits", "word_chars").alias("digit_share"),
+        share("n_shout", "word_chars").alias("shout_share"),
         share("n_words", "n_lines").alias("line_words"),
     )
