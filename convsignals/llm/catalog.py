@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convsignals.llm import quality_rules, quality_trees, sharding
+from convsignals.llm import jaccard_join, personal_data, quality_rules, quality_trees, sharding, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,13 +23,28 @@ def op3_boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_jump_sharding, op3_boosted_trees)}
+def op4_segment_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, folder, "documents"))
+
+
+def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages"))
+
+
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_jump_sharding,
+        op3_boosted_trees,
+        op4_segment_personal_data,
+        op6_warc_revisits,
+        op8_jaccard_join,
+    )
+}
 
-_JUMP = """
-RECURSIVE keyed AS (
-  SELECT row_number() OVER () AS r, doc_id,
-    octet_length(encode(coalesce(text, ''))) + 16 AS size, CAST(text_crc AS BIGINT) AS text_crc32,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
-  FROM documents)
-"""
 ORACLES: dict[str, str] = {}
