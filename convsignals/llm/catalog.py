@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convsignals.llm import jaccard_join, personal_data, quality_rules, quality_trees, sharding, warc
+from convsignals.llm import (
+    decontaminate,
+    jaccard_join,
+    personal_data,
+    quality_rules,
+    quality_trees,
+    sharding,
+    substring_dedup,
+    warc,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +44,14 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, folder, "documents"))
 
 
+def op9_doubling_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+def op10_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -44,7 +61,9 @@ QUERIES = {
         op4_segment_personal_data,
         op6_warc_revisits,
         op8_jaccard_join,
+        op9_doubling_dedup,
+        op10_template_decontamination,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_template_decontamination": decontaminate.oracle()}
