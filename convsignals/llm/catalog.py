@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from convsignals.llm import (
     decontaminate,
     jaccard_join,
+    language_model,
     personal_data,
     quality_rules,
     quality_trees,
@@ -36,6 +37,10 @@ def op4_segment_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(table(spark, folder, "documents"))
 
 
+def op5_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
 def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages"))
 
@@ -59,6 +64,7 @@ QUERIES = {
         op2_jump_sharding,
         op3_boosted_trees,
         op4_segment_personal_data,
+        op5_maxent_scores,
         op6_warc_revisits,
         op8_jaccard_join,
         op9_doubling_dedup,
