@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from convsignals.llm import (
     decontaminate,
     jaccard_join,
     language_model,
+    mixing,
     personal_data,
     quality_rules,
     quality_trees,
@@ -45,6 +48,11 @@ def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(table(spark, folder, "pages"))
 
 
+def op7_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mix(table(spark, folder, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, folder, "documents"))
 
@@ -66,10 +74,18 @@ QUERIES = {
         op4_segment_personal_data,
         op5_maxent_scores,
         op6_warc_revisits,
+        op7_raked_mixture,
         op8_jaccard_join,
         op9_doubling_dedup,
         op10_template_decontamination,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op10_template_decontamination": decontaminate.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_jump_sharding": sharding.oracle(),
+    "op6_warc_revisits": warc.oracle(),
+    "op7_raked_mixture": mixing.oracle(),
+    "op10_template_decontamination": decontaminate.oracle(),
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -96,3 +96,26 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 def block_count(rows: int, shards: int) -> int:
     """Blocks per shard so that each has about BLOCK_ROWS rows."""
     return max(1, -(-rows // (shards * BLOCK_ROWS)))
+
+
+def oracle(shards: int = 40, documents: str = "documents") -> str:
+    """The same rows in DuckDB, the jumps as a recursive query. A crc32 is taken byte by byte."""
+    step = "(({k}::HUGEINT * 2862933555777941757 + 1) % 18446744073709551616)"
+    return f"""WITH RECURSIVE
+poly AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) t(i)),
+crcs AS (SELECT list(v ORDER BY i) AS v FROM poly),
+k AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM {documents}),
+h AS (SELECT r, hex(b) AS x, octet_length(b) AS n FROM k),
+sums AS MATERIALIZED (SELECT r, n + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT) for i in range(n)]),
+      lambda c, y: xor(c >> 8, crcs.v[xor(c % 256, y) + 1])), 4294967295) AS text_crc32 FROM h, crcs),
+j AS (SELECT n, r, key::HUGEINT AS key, -1::BIGINT AS b, 0::BIGINT AS a FROM k, (VALUES ({shards}), ({shards + 1})) s(n)
+  UNION ALL
+  SELECT n, r, {step.format(k="key")}, a,
+    CAST(floor((a + 1) * (2147483648.0::DOUBLE / (({step.format(k="key")} // 8589934592) + 1)::DOUBLE)) AS BIGINT) FROM j WHERE a < n),
+s AS (SELECT n, r, max(b) AS shard FROM j GROUP BY n, r)
+SELECT k.doc_id, sums.size, sums.text_crc32, 'key' AS law, CAST(s.shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY s.shard ORDER BY k.doc_id, text_crc32, size) - 1 AS slot, CAST(g.shard AS INTEGER) AS grown_shard
+FROM k JOIN sums USING (r) JOIN s ON s.r = k.r AND s.n = {shards} JOIN s g ON g.r = k.r AND g.n = {shards + 1}"""

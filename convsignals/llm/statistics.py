@@ -27,16 +27,18 @@ def _without(text, chars: str):
     return F.length(text) - F.length(F.regexp_replace(text, chars, ""))
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per row of ``docs``: the id, the counts of BASE (long) and the features of SHARES (double).
 
-    Other columns of ``docs`` are not read, so their names cannot clash. A null, empty or blank text has zero counts
+    Other columns of ``docs`` are not read, so their names cannot clash; one column, ``carry``, may come along. A null, empty or blank text has zero counts
     and zero features. Repeated rows and null ids stay as they are; an empty table gives an empty table. Nothing is
     shuffled, and a very long text costs n log n of its words at most.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    more = [carry] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     d = d.select(
         "doc_id",
+        *more,
         F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "").alias("ws"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("ls"),
         _without(F.col("text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -44,6 +46,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     d = d.select(
         "doc_id",
+        *more,
         F.size("ws").cast("long").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -81,6 +84,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     return d.select(
         "doc_id",
+        *more,
         *BASE,
         F.col("n_words").cast("double").alias("words"),
         share("word_chars", "n_words").alias("word_length"),

@@ -184,3 +184,14 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     write_warc(resolve(headers(pages)), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+
+
+def oracle(least_bytes: int = LEAST_BYTES) -> str:
+    """The rows of ``archive`` in DuckDB."""
+    return f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= {least_bytes} THEN max(page_id) OVER (PARTITION BY digest, n) END AS top FROM h)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m"""
