@@ -2,9 +2,9 @@
 
 One minus the Jaccard similarity is a metric, so distances to pivots bound distances between documents. Documents are first
 gathered into regions: linked documents share one of their first shingles in a common order (longest first, frequent ones
-last), the document with the smallest id among the holders of such a shingle is a pivot, and every holder joins
-its region. Pairs of small holder groups are dropped when the exact bound on the distance between their count vectors
-(the same triangle inequality, with parts of the universe as pivots) excludes a link. Regions that touch become one. Inside a region
+last), so the holders of such a shingle are searched. A pivot among them takes those into its region that the triangle
+inequality allows to link: it bounds a distance from below by sizes (distance to the empty set) and by the counts
+of shingles in PARTS parts of the universe. Holders that may link stay together, and regions that touch become one. Inside a region
 the join is recursive: pivots are taken one after another among documents whose links are still open, each splits its
 region by the triangle inequality into the window that may hold links and the rest, and documents of one component
 are not compared again. Large regions are cut into blocks that are joined apart; then only documents outside the largest
@@ -22,15 +22,20 @@ from pyspark.sql import functions as F
 
 from convsignals.llm.components import connected_components
 from convsignals.llm.hashing import Words, mix, text_chunks, window_hashes
+from convsignals.llm.tables import released
 from convsignals.session import stored
 
 PARTS = 64
+#: Sets of LONG or more shingles are counted in FINE parts, of which PARTS is a divisor; the bound is blunt with few parts.
+LONG, FINE = 1500, 1024
 #: Shingles that are left to the end of the common order; any set of them gives the same links.
 FREQUENT = 50_000
-#: Holder groups up to this size are compared pair by pair, larger ones through their pivot only.
+#: Holder groups up to this size are compared pair by pair, larger ones by pivots.
 SMALL_GROUP = 16
-#: Documents of a region that one task joins.
-BLOCK = 2000
+#: Larger holder groups than this become one region without a look at their bounds.
+LARGE_GROUP = 20_000
+#: Documents, and shingles of them all, of a region that one task joins.
+BLOCK, BLOCK_SHINGLES = 2000, 1_500_000
 
 
 def _sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +82,46 @@ def _scan(docs: DataFrame, work, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _counts(owner: np.ndarray, h: np.ndarray, n: int, fine: bool) -> list[np.ndarray]:
+    """Count vectors of ``n`` sets in PARTS parts and, if ``fine``, in FINE parts."""
+    out = []
+    for parts in (PARTS, FINE)[: 1 + fine]:
+        at = owner * parts + (h.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        out.append(np.bincount(at, minlength=n * parts).reshape(n, parts).astype(np.int32))
+    return out
+
+
+def _may_link(vecs: list[np.ndarray], n: np.ndarray, p: int, percent: int) -> np.ndarray:
+    """Members that the bounds allow to link with member ``p``.
+
+    A link's symmetric difference is at most (1 - s) / (1 + s) of the sum of both sizes, and at least the distance
+    of the count vectors.
+    """
+    some = np.flatnonzero(np.minimum(n, n[p]) * 100 >= percent * np.maximum(n, n[p]))
+    for vec in vecs:
+        apart = np.abs(vec[some] - vec[p]).sum(1)
+        some = some[apart * (100 + percent) <= (100 - percent) * (n[some] + n[p])]
+    out = np.zeros(len(n), bool)
+    out[some] = True
+    return out
+
+
+def _merge(comp: np.ndarray, members: np.ndarray) -> None:
+    labels = np.unique(comp[members])
+    if len(labels) > 1:
+        comp[np.isin(comp, labels)] = labels[0]
+
+
+def _gathered(vecs: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Label (first member) of the parts of a group between which no link is possible."""
+    comp = np.arange(len(n))
+    for p in range(len(n)):
+        if p and comp[p] == np.bincount(comp).argmax():
+            continue  # what may link with the largest part is found from the other side
+        _merge(comp, np.flatnonzero(_may_link(vecs, n, p, percent)))
+    return comp
+
+
 def _threshold_prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (-(-percent * n // 100)) + 1
 
@@ -89,13 +134,15 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         n = np.bincount(own, minlength=len(ids))
         a = _sum_by(own, mix(h ^ np.uint64(0x5851F42D4C957F2D)), len(ids)).view(np.int64)
         b = _sum_by(own, mix(h + np.uint64(0x14057B7EF767814F)), len(ids)).view(np.int64)
-        vec = np.bincount(own * PARTS + (h % np.uint64(PARTS)).astype(np.int64), minlength=len(ids) * PARTS)
+        vecs = _counts(own, h, len(ids), bool((n >= LONG).any()))
+        vec = [vecs[-1][k] if n[k] >= LONG else vecs[0][k] for k in range(len(ids))]
         _, first = np.unique(a, return_index=True)
         distinct = np.isin(own, first)
         often, c = np.unique(h[distinct], return_counts=True)
         often = often[c >= 4].view(np.int64)
         k, m = len(ids), len(often)
-        lists = pa.ListArray.from_arrays(np.arange(0, (k + 1) * PARTS, PARTS, dtype=np.int32), pa.array(vec.astype(np.int32)))
+        ends = np.concatenate([[0], np.cumsum([len(v) for v in vec])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*vec, np.zeros(0, np.int32)]).astype(np.int32)))
         return {
             "doc_id": pa.array(np.concatenate([ids, np.zeros(m, np.int64)])),
             "n": pa.array(np.concatenate([n, np.full(m, -1)]).astype(np.int64)),
@@ -110,8 +157,8 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 def _first_shingles(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(hash, doc, peer): each document with its first shingles in the common order.
 
-    Holders of one shingle inside a chunk meet there: when there are more than SMALL_GROUP, all join the region of the
-    smallest (rows with peer) and it alone asks the others, so that a shingle of very many documents is few rows.
+    Holders of one shingle inside a chunk meet there: when there are more than SMALL_GROUP, those that may link join the
+    region of the smallest (rows with peer) and it alone asks on, so that a shingle of very many documents is few rows.
     """
     least = next(n for n in range(1, 1000) if 100 * (n - 1) >= percent * n)  # smaller sets link with equal sets only
 
@@ -122,6 +169,7 @@ def _first_shingles(docs: DataFrame, width: int, percent: int, frequent: np.ndar
         keep = np.zeros(len(ids), bool)  # one of the equal sets in the chunk, that with the smallest id
         order = np.lexsort((ids, a))
         keep[order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]] = True if len(ids) else False
+        full = own, h
         late = np.isin(h, frequent) if len(frequent) else np.zeros(len(h), bool)
         order = np.lexsort((h, -size, late, own))
         own, h = own[order], h[order]
@@ -130,22 +178,25 @@ def _first_shingles(docs: DataFrame, width: int, percent: int, frequent: np.ndar
         h, doc = h[use], ids[own[use]]
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
-        start = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-        group = np.cumsum(start) - 1
-        many = np.bincount(group, minlength=1)[group] > SMALL_GROUP if len(h) else start
-        top = doc[np.flatnonzero(start)][group] if len(h) else doc
-        local = many & ~start
+        who = own[use][order]
+        peer = doc.copy()
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+        if (np.diff(edge) > SMALL_GROUP).any():
+            vecs = _counts(*full, len(ids), bool((n >= LONG).any()))
+            for x, y in zip(edge, edge[1:]):
+                if y - x > SMALL_GROUP:
+                    peer[x:y] = doc[x + _gathered([v[who[x:y]] for v in vecs], n[who[x:y]], percent)]
         return {
             "hash": pa.array(h.view(np.int64)),
             "doc": pa.array(doc),
-            "peer": pa.array(top, mask=~local),
+            "peer": pa.array(peer, mask=peer == doc),
         }
 
     return _scan(docs, work, "hash long, doc long, peer long")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Holders of each shingle of a partition: (x, y, open) with open true where the pair still needs a bound."""
+    """Holders of each shingle of a partition: pairs (x, y) of small groups (group null), and (group, x) of larger ones."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
         return
@@ -157,18 +208,64 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, doc = h[new], doc[new]
     edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
     start, count = edge[:-1], np.diff(edge)
-    pairs, stars = [], []
+    pairs, groups, stars = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
     for size in range(2, SMALL_GROUP + 1):
         at = start[count == size]
         for i in range(size):
             for j in range(i + 1, size):
                 pairs.append(np.stack([doc[at + i], doc[at + j]], 1))
     for a, c in zip(start[count > SMALL_GROUP], count[count > SMALL_GROUP]):
-        stars.append(np.stack([np.full(c - 1, doc[a]), doc[a + 1 : a + c]], 1))
-    for rows, is_open in ((pairs, True), (stars, False)):
-        if rows:
-            r = np.unique(np.concatenate(rows), axis=0)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(r[:, 0]), "y": pa.array(r[:, 1]), "open": pa.array(np.full(len(r), is_open))})
+        if c > LARGE_GROUP:
+            stars.append(np.stack([np.full(c - 1, doc[a]), doc[a + 1 : a + c]], 1))
+        else:
+            groups.append(np.stack([np.full(c, h[a]), doc[a : a + c]], 1))
+    p, g, z = np.unique(np.concatenate(pairs), axis=0), np.concatenate(groups), np.unique(np.concatenate(stars), axis=0)
+    none = np.zeros(len(p) + len(z), np.int64)
+    yield pa.RecordBatch.from_pydict(
+        {
+            "x": pa.array(np.concatenate([p[:, 0], z[:, 0], g[:, 1]])),
+            "y": pa.array(np.concatenate([p[:, 1], z[:, 1], g[:, 1]])),
+            "open": pa.array(np.arange(len(none) + len(g)) < len(p)),
+            "group": pa.array(np.concatenate([none, g[:, 0]]), mask=np.arange(len(none) + len(g)) < len(none)),
+        }
+    )
+
+
+def _columns(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Count vectors of all rows in PARTS parts, and of the long ones, in order, in FINE parts."""
+    lengths = vec.value_lengths().to_numpy()
+    flat = vec.flatten().to_numpy()
+    long = np.repeat(lengths == FINE, lengths)
+    fine = flat[long].reshape(-1, FINE)
+    coarse = np.empty((len(lengths), PARTS), np.int32)
+    coarse[lengths == PARTS] = flat[~long].reshape(-1, PARTS)
+    coarse[lengths == FINE] = fine.reshape(-1, FINE // PARTS, PARTS).sum(1)
+    return coarse, fine
+
+
+def _part_groups(percent: int):
+    """Edges (a, b) between the holders of a shingle that may link, through the first of each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(*(b.column(i).to_numpy() for i in range(3)), *_columns(b.column(3))) for b in batches]
+        if not rows:
+            return
+        group, doc, n, coarse, fine = (np.concatenate(c) for c in zip(*rows))
+        order = np.lexsort((doc, group))
+        edge = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+        head = np.arange(len(doc))
+        row_of_fine = np.cumsum(n >= LONG) - 1
+        for x, y in zip(edge, edge[1:]):
+            at = order[x:y]
+            parts = _gathered([coarse[at]], n[at], percent)
+            for k in np.unique(parts):
+                mine = at[parts == k]
+                head[mine] = mine[0]
+                if len(mine) > 1 and (n[mine] >= LONG).all():
+                    head[mine] = mine[_gathered([coarse[mine], fine[row_of_fine[mine]]], n[mine], percent)]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(doc), "b": pa.array(doc[head])})
+
+    return run
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -187,6 +284,7 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
     first = np.concatenate([[0], np.cumsum(size)])
     comp = np.arange(m)
     radius = 1 - percent / 100
+    vecs = _counts(np.repeat(np.arange(m), size), flat, m, bool(m and size.max() >= LONG))
     known: list[np.ndarray] = []
     done = np.zeros(m, bool) if visitors is None else ~visitors
     rounds = 0
@@ -194,18 +292,17 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
         left = np.flatnonzero(~done)
         if not len(left):
             return comp
-        names, counts = np.unique(comp, return_counts=True)
-        largest = names[counts.argmax()]
+        largest = np.bincount(comp).argmax()
         # The largest component needs no pivot of its own: links to it are found from the other side.
         outside = left[comp[left] != largest] if rounds and visitors is None else left
         if not len(outside):
             return comp
         p = int(outside[0])
-        window = (comp != comp[p]) & (np.minimum(size, size[p]) * 100 >= percent * np.maximum(size, size[p]))
+        window = (comp != comp[p]) & _may_link(vecs, size, p, percent)
         for d in known:
             # An unknown distance is NaN and excludes nothing.
             window &= ~(np.abs(d - d[p]) > radius + 1e-9)
-        w = np.flatnonzero(window) if rounds else np.arange(m)
+        w = np.flatnonzero(window)
         if len(w):
             lens = size[w]
             total = int(lens.sum())
@@ -220,8 +317,7 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
                 d[w] = 1 - common / (lens + size[p] - common)
                 d[p] = 0.0
                 known.append(d)
-            joined = np.unique(np.append(comp[close], comp[p]))
-            comp[np.isin(comp, joined)] = joined[0]
+            _merge(comp, np.append(close, p))
         done[p] = True
         rounds += 1
 
@@ -229,32 +325,31 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
 def _region_task(percent: int, visiting: bool):
     """Groups consecutive rows (key, doc, visitor, body) of a sorted partition and joins each group."""
 
-    def flush(key, docs, visitors, bodies):
+    def flush(docs, visitors, sets):
         ids = np.array(docs, np.int64)
-        sets = [np.frombuffer(b, np.int64) for b in bodies]
         comp = join_region(sets, percent, np.array(visitors, bool) if visiting else None)
         return pa.RecordBatch.from_pydict({"a": pa.array(ids), "b": pa.array(ids[comp])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, visitors, bodies = None, [], [], []
+        key, docs, visitors, sets = None, [], [], []
         for b in batches:
-            for k, d, v, body in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, d, v, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 if k != key and docs:
-                    yield flush(key, docs, visitors, bodies)
-                    docs, visitors, bodies = [], [], []
+                    yield flush(docs, visitors, sets)
+                    docs, visitors, sets = [], [], []
                 key = k
                 docs.append(d)
                 visitors.append(v)
-                bodies.append(body)
+                sets.append(np.frombuffer(body.as_buffer(), np.int64))
         if docs:
-            yield flush(key, docs, visitors, bodies)
+            yield flush(docs, visitors, sets)
 
     return run
 
 
 def _shipped(docs: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """Sets of the documents that a region holds: (doc_id, region, size, body); sorted hashes as bytes."""
-    rows = docs.join(labels, "doc_id").select("doc_id", "text", "region", "size")
+    """Sets of the documents that a region holds: (doc_id, region, blocks, body); sorted hashes as bytes."""
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "region", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,10 +359,10 @@ def _shipped(docs: DataFrame, labels: DataFrame, width: int) -> DataFrame:
                 signed = h.view(np.int64)
                 body = [np.sort(signed[x:y]).tobytes() for x, y in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": b.column(0)[lo:hi], "region": b.column(2)[lo:hi], "size": b.column(3)[lo:hi], "body": pa.array(body, pa.binary())}
+                    {"doc_id": b.column(0)[lo:hi], "region": b.column(2)[lo:hi], "blocks": b.column(3)[lo:hi], "body": pa.array(body, pa.binary())}
                 )
 
-    return rows.mapInArrow(run, "doc_id long, region long, size long, body binary")
+    return rows.mapInArrow(run, "doc_id long, region long, blocks long, body binary")
 
 
 def _joined(rows: DataFrame, percent: int, visiting: bool) -> DataFrame:
@@ -276,6 +371,21 @@ def _joined(rows: DataFrame, percent: int, visiting: bool) -> DataFrame:
     return spread.mapInArrow(_region_task(percent, visiting), "a long, b long")
 
 
+def _distance(a, b):
+    """Distance of two count vectors, compared in as many parts as both have."""
+
+    def sums(v):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(PARTS - 1)),
+            lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(FINE // PARTS - 1)), F.lit(0), lambda s, j: s + F.get(v, i + j * PARTS)),
+        )
+
+    def l1(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+
+    return F.when(F.size(a) == F.size(b), l1(a, b)).when(F.size(a) > F.size(b), l1(sums(a), b)).otherwise(l1(a, sums(b)))
+
+
 def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= ``percent`` * union.
 
@@ -300,27 +410,32 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     first = stored(_first_shingles(docs, width, percent, frequent))
     total = first.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
-    met = first.filter("peer is null").select("hash", "doc").repartition(parts, "hash").mapInArrow(_meet, "x long, y long, open boolean")
+    met = released(
+        first.filter("peer is null").select("hash", "doc").repartition(parts, "hash").mapInArrow(_meet, "x long, y long, open boolean, group long")
+    )
     local = first.filter("peer is not null").select(F.col("doc").alias("x"), F.col("peer").alias("y"), F.lit(False).alias("open"))
-    pairs = met.union(local).groupBy("x", "y").agg(F.min("open").alias("open"))
+    pairs = met.filter("group is null").select("x", "y", "open").union(local).groupBy("x", "y").agg(F.min("open").alias("open"))
+    holders = met.filter("group is not null").select("group", F.col("x").alias("doc_id"))
+    holders = holders.join(member, "doc_id").select("group", "rep", "n", "vec").repartition(parts, "group")
+    gathered = holders.mapInArrow(_part_groups(percent), "a long, b long").filter("a <> b")
     left = member.select(F.col("doc_id").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     right = member.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
     both = pairs.join(left, "x").join(right, "y").filter("a <> b")
-    # |x - y| + |y - x| of a link is at most (1 - s) / (1 + s) of the sum of both sizes, and at least the distance of the vectors.
-    apart = F.aggregate(F.zip_with("va", "vb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+    apart = _distance(F.col("va"), F.col("vb"))
     may_link = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (
         apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     )
-    regions = stored(connected_components(both.filter(~F.col("open") | may_link).select("a", "b")))
-    sizes = regions.groupBy("component").agg(F.count("*").alias("size"))
-    labels = regions.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("region"), "size")
+    regions = stored(connected_components(both.filter(~F.col("open") | may_link).select("a", "b").union(gathered)))
+    weights = regions.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    whole = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES))
+    sizes = weights.groupBy("component").agg(whole.alias("blocks"))
+    labels = regions.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("region"), "blocks")
     sets = stored(_shipped(docs, labels, width))
-    blocks = F.ceil(F.col("size") / block)
-    mine = F.pmod(F.xxhash64("doc_id"), blocks)
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     cut = sets.withColumn("key", F.struct("region", mine.alias("block"))).withColumn("key", F.to_json("key")).withColumn("visitor", F.lit(False))
     links = stored(_joined(cut, percent, False)).filter("a <> b")
-    if sets.filter(F.col("size") > block).take(1):
-        links = links.union(_across(sets, links, percent, block))
+    if sets.filter("blocks > 1").take(1):
+        links = links.union(_across(sets, links, percent))
     # Copies of a text are linked to their class already.
     copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(links.select("a", "b").union(copies))
@@ -332,14 +447,13 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     return out.union(blank.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
-def _across(sets: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
+def _across(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between the blocks of regions that have several.
 
     First one member of each component of a block meets those of the other blocks; what then lies outside the largest
     component of its region visits every block.
     """
-    wide = sets.filter(F.col("size") > block)
-    blocks = F.ceil(F.col("size") / block)
+    wide = sets.filter("blocks > 1")
 
     def labelled(more: DataFrame) -> DataFrame:
         comp = connected_components(more.select("a", "b"))
@@ -355,8 +469,8 @@ def _across(sets: DataFrame, links: DataFrame, percent: int, block: int) -> Data
     counts = now.groupBy("region", "component").count()
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
     now = now.join(largest, "region").withColumn("visitor", F.col("component") != F.col("largest"))
-    home = F.pmod(F.xxhash64("doc_id"), blocks)
+    home = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     at_home = now.withColumn("at", home)
-    guests = now.filter("visitor").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).filter(F.col("at") != home)
+    guests = now.filter("visitor").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter(F.col("at") != home)
     rows = at_home.unionByName(guests).withColumn("key", F.to_json(F.struct("region", "at")))
     return links.union(_joined(rows, percent, True).filter("a <> b"))
