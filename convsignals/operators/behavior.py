@@ -151,21 +151,21 @@ def session_numbers(messages: DataFrame, block_size: int = 1024) -> DataFrame:
     rows = messages.withColumn("_start", gap.cast("int")).withColumn(
         "_block", F.floor(F.col("pos") / block_size)
     )
-    blocks = rows.groupBy("conversation_id", "_block").agg(F.sum("_start").alias("_starts"))
-    earlier = Window.partitionBy("conversation_id").orderBy("_block")
+    rows = rows.withColumn("_slot", F.struct("conversation_id", "_block"))
+    blocks = rows.groupBy("_slot").agg(F.sum("_start").alias("_starts"))
+    earlier = Window.partitionBy("_slot.conversation_id").orderBy("_slot._block")
     blocks = blocks.select(
-        "conversation_id",
-        "_block",
+        "_slot",
         F.coalesce(
             F.sum("_starts").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_before"),
     )
-    inside = Window.partitionBy("conversation_id", "_block").orderBy("pos")
+    inside = Window.partitionBy("_slot").orderBy("pos")
     running = F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        rows.join(blocks, ["conversation_id", "_block"])
+        rows.join(blocks, "_slot")
         .withColumn("session", (1 + F.col("_before") + running).cast("int"))
-        .drop("_block", "_start", "_before")
+        .drop("_block", "_slot", "_start", "_before")
     )
 
 

@@ -24,23 +24,27 @@ def with_block_totals(
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``rows_before`` (rows of the key in earlier blocks), ``rows_total``, and for every
-    ``carry`` aggregate its value over the nearest earlier block."""
+    ``carry`` aggregate its value over the nearest earlier block.
+
+    Adds ``_slot``, the struct of keys and block, as well: windows inside a block partition by it and so
+    reuse the join's exchange. A struct is never null, so rows with a null key keep together.
+    """
     carry = carry or {}
     by_key = Window.partitionBy(*keys)
     in_order = by_key.orderBy(block)
-    summary = df.groupBy(*keys, block).agg(
+    df = df.withColumn("_slot", F.struct(*keys, block))
+    summary = df.groupBy("_slot").agg(
         F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{n}") for n, c in carry.items()]
     )
-    summary = summary.select(
-        *keys,
-        block,
+    summary = summary.select("*", "_slot.*").select(
+        "_slot",
         F.coalesce(
             F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("rows_before"),
         F.sum("_n").over(by_key).alias("rows_total"),
         *[F.lag(f"_{n}").over(in_order).alias(n) for n in carry],
     )
-    return df.join(summary, [*keys, block])
+    return df.join(summary, "_slot")
 
 
 def with_rank(
@@ -52,10 +56,10 @@ def with_rank(
     """
     blocked = df.withColumn("_block", block)
     totals = with_block_totals(blocked, keys, "_block")
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    inside = Window.partitionBy("_slot").orderBy(*order)
     return totals.withColumn(
         "rank", (F.col("rows_before") + F.row_number().over(inside)).cast("long")
-    ).drop("_block", "rows_before")
+    ).drop("_block", "_slot", "rows_before")
 
 
 def with_key_size(
@@ -66,7 +70,7 @@ def with_key_size(
     return (
         with_block_totals(blocked, [key], "_block")
         .withColumn(name, F.col("rows_total").cast("int"))
-        .drop("_block", "rows_before", "rows_total")
+        .drop("_block", "_slot", "rows_before", "rows_total")
     )
 
 

@@ -25,7 +25,7 @@ def stratified_split(
     test: float = 0.15,
     seed: int = 42,
     hash_digits: int = 4,
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """``(key, label, split)`` by rank of a seeded hash within each class.
 

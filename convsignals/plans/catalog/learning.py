@@ -35,13 +35,13 @@ def labelled_feature_table(spark, folder):
 
 
 def text_classifier_metrics(spark, folder):
-    run = text_baseline.run(c.labelled(spark, folder), c.QUALITY_MAPPING, "losing_interest", max_iter=200)
+    run = text_baseline.run(c.labelled(spark, folder), c.QUALITY_MAPPING, "losing_interest")
     return run.metrics
 
 
 def text_classifier_predictions(spark, folder):
     """Probabilities for all documents from a model trained on the labelled ones."""
-    run = text_baseline.run(c.labelled(spark, folder), c.QUALITY_MAPPING, "losing_interest", max_iter=100)
+    run = text_baseline.run(c.labelled(spark, folder), c.QUALITY_MAPPING, "losing_interest")
     docs = tb.text_table(spark, folder, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("raw_text"))
     return text_baseline.score_new(run.model, docs)
 
@@ -73,7 +73,7 @@ def prefix_classifier_metrics(spark, folder):
 
 def fusion_metrics(spark, folder):
     """Embedding and behavior joined by id; the class is the parity half of the embedding label."""
-    names = ["total_messages", "session_count", "mean_response_delay_customer", "last_role_is_customer"]
+    names = S.PURE_FEATURES
     table = _behavior_table(spark, folder, names).drop("label")
     scaled = st.standardized(table, names)
     vectors = tb.table(spark, folder, "embeddings").select(
@@ -83,7 +83,7 @@ def fusion_metrics(spark, folder):
     )
     rows = md.with_class_number(md.fusion_table(vectors, scaled, names, "conversation_id"), c.CLASSES).persist()
     width = len(rows.select("features").first()[0])
-    model = md.fusion_classifier(width, hidden=64, max_iter=60).fit(rows.where("split = 'train'"))
+    model = md.fusion_classifier(width).fit(rows.where("split = 'train'"))
     scored = md.as_predictions(model.transform(rows.where("split = 'test'")), c.CLASSES, "conversation_id")
     return mx.evaluate(scored, c.CLASSES, S.POSITIVE_CLASS)
 

@@ -151,18 +151,11 @@ def char_ngram_counts(spark, folder):
 
 
 def class_probabilities(spark, folder):
-    """Softmax and argmax over the first four embedding values as logits."""
-    rows = tb.table(spark, folder, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("logits")
-    )
-    p = tx.softmax(F.col("logits"))
-    return c.rounded(
-        rows.select(
-            "vec_id",
-            *[p[i].alias(f"p{i}") for i in range(4)],
-            tx.argmax(F.col("logits")).alias("predicted"),
-        )
-    )
+    """Softmax and argmax over all embedding values as logits; the probabilities in order, six digits each."""
+    rows = tb.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))
+    rows = rows.withColumn("p", tx.softmax(F.col("logits")))
+    rows = rows.select("vec_id", F.posexplode("p").alias("class_id", "probability"), tx.argmax(F.col("logits")).alias("predicted"))
+    return c.rounded(rows)
 
 
 QUERIES = {
@@ -283,10 +276,9 @@ padded AS (SELECT ' ' || w || ' ' AS p FROM words WHERE w <> ''),
 sized AS (SELECT p, unnest(range(2, least(4, length(p)) + 1)) AS n FROM padded),
 grams AS (SELECT substr(p, i, n) AS gram FROM (SELECT p, n, unnest(range(1, length(p) - n + 2)) AS i FROM sized))
 SELECT gram, count(*) AS n FROM grams GROUP BY gram""",
-    "class_probabilities": """WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b,
-  embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings),
-y AS (SELECT *, greatest(a, b, c, d) AS top, exp(a) + exp(b) + exp(c) + exp(d) AS total FROM x)
-SELECT vec_id, round(exp(a) / total, 6) AS p0, round(exp(b) / total, 6) AS p1, round(exp(c) / total, 6) AS p2,
-  round(exp(d) / total, 6) AS p3, CAST(CASE top WHEN a THEN 0 WHEN b THEN 1 WHEN c THEN 2 ELSE 3 END AS BIGINT) AS predicted
-FROM y""",
+    "class_probabilities": """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS a,
+  unnest(range(len(embedding))) AS class_id FROM embeddings),
+y AS (SELECT *, sum(exp(a)) OVER v AS total, arg_max(class_id, struct_pack(a := a, k := -class_id)) OVER v AS predicted
+  FROM x WINDOW v AS (PARTITION BY vec_id))
+SELECT vec_id, class_id, round(exp(a) / total, 6) AS probability, predicted FROM y""",
 }

@@ -237,7 +237,7 @@ def paired_bootstrap(spark, folder):
 
 def model_comparison_summary(spark, folder):
     p = c.predictions(spark, folder)
-    return model_comparison.run(p.where("model = 'A'"), p.where("model = 'B'"), verify=False).summary
+    return model_comparison.run(p.where("model = 'A'"), p.where("model = 'B'")).summary
 
 
 def ablation_case(spark, folder):

@@ -69,7 +69,7 @@ def timed_messages(events: DataFrame, block_seconds: int = BLOCK_SECONDS) -> Dat
         F.col("props").alias("text"),
     ).withColumn("_block", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (block_seconds * 1_000_000)))
     rows = with_block_totals(rows, ["conversation_id"], "_block", {"block_end": F.max("ts")})
-    inside = Window.partitionBy("conversation_id", "_block").orderBy("ts", "event_id")
+    inside = Window.partitionBy("_slot").orderBy("ts", "event_id")
     previous = F.coalesce(F.lag("ts").over(inside), F.col("block_end"))
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))
     return rows.select(

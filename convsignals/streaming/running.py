@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,7 +24,8 @@ RUNNING_FEATURES = [
 def running_features(messages: DataFrame, names: list[str] = RUNNING_FEATURES) -> DataFrame:
     """Features of each conversation so far. Works on a stream (update or complete mode) and in batch.
 
-    All of them are algebraic aggregates, so the state per conversation is one row.
+    All of them are algebraic aggregates, so the state per conversation is one row. Without an event time
+    nothing says that a conversation has ended, so its row stays in the state.
     """
     aggregates = _aggregates(F.lit(0))
     return (
@@ -49,7 +50,7 @@ def stream_sessions(messages: DataFrame, time: str = "ts", late: str = "1 hour",
 
 
 def latest_table(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body that keeps the newest complete result as a table."""
+    """``foreachBatch`` body that keeps every complete result; ``read_latest`` reads the newest."""
 
     def write(result: DataFrame, batch_id: int) -> None:
         result.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
@@ -57,6 +58,13 @@ def latest_table(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result. Earlier versions are older states of the same rows, never to be added up."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
+
+
 def run_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
     return (
         result.writeStream.outputMode(mode)

@@ -41,3 +41,17 @@ def test_blocks_equal_plain_windows(spark):
     assert {r["event_id"]: r["session"] for r in session_numbers(timed, 5).collect()} == whole
     sized = with_key_size(timed.drop("n"), "conversation_id", block_size=16)
     assert all(r["n"] == expected[r["event_id"]][1] for r in sized.collect())
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = spark.range(100).selectExpr(
+        "id AS event_id",
+        "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 3 END AS user_id",
+        "timestamp_seconds(1700000000 + id * 1800) AS ts",
+        "'click' AS event_type",
+        "'{}' AS props",
+    )
+    timed = timed_messages(rows)
+    assert timed.count() == 100
+    assert timed.where("conversation_id IS NULL").selectExpr("max(pos)", "max(n)").first()[:] == (9, 10)
+    assert session_numbers(timed).where("conversation_id IS NULL").count() == 10

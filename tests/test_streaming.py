@@ -41,7 +41,7 @@ def test_intake_accepts_rejects_and_survives_restart(spark, tmp_path):
     got = {r["row_id"]: r["issue"] for r in intake.read_decisions(spark, out).collect()}
     assert got == {
         1: None,
-        2: "duplicate_in_batch",
+        2: "repeated_in_conversation",
         3: "invalid_role",
         4: "empty_text",
         5: None,
@@ -56,6 +56,19 @@ def test_intake_accepts_rejects_and_survives_restart(spark, tmp_path):
     assert again == got
 
 
+def test_intake_tells_rows_apart_by_row_id(spark):
+    ids = "row_id long, conversation_id string, pos int, role string, text string"
+    rows = [
+        (1, "he_sales_000001", 0, "customer", "a first text about a corner sofa for the living room"),
+        (2, "he_sales_000002", 0, "customer", "a wholly different question on delivery times"),
+        (3, "he_sales_000002", 0, "customer", "a first text about a corner sofa for the living rooms"),
+        (4, "he_sales_000003", 1, "customer", "a wholly different question on delivery times"),
+    ]
+    index = spark.createDataFrame([], intake.INDEX_SCHEMA)
+    got = {r["row_id"]: (r["issue"], r["match"]) for r in intake.judge_batch(spark.createDataFrame(rows, ids), index).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: ("fuzzy_in_batch", "1"), 4: ("duplicate_in_batch", "2")}
+
+
 def test_running_features_equal_batch(spark, tmp_path):
     rows = spark.range(60).select(
         (F.col("id") % 4).alias("conversation_id"),
@@ -68,8 +81,7 @@ def test_running_features_equal_batch(spark, tmp_path):
     rows.repartition(3).write.parquet(folder)
     stream = file_stream(spark, folder, rows.schema)
     running.run_to_table(running.running_features(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    versions = spark.read.parquet(str(tmp_path / "out"))
-    last = versions.where(F.col("version") == versions.agg(F.max("version")).first()[0])
+    last = running.read_latest(spark, str(tmp_path / "out"))
     names = running.RUNNING_FEATURES
     got = {r["conversation_id"]: [r[n] for n in names] for r in last.collect()}
     want = {r["conversation_id"]: [r[n] for n in names] for r in behavioral_features(rows, names).collect()}
