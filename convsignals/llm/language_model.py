@@ -316,6 +316,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT)
         h, row, uses, c = h[hit], row[hit], uses[hit], n[at[hit]] if len(known) else uses[hit]
         rows, inverse = np.unique(row, return_inverse=True)
         k = len(rows)
+        if not k:
+            return
         yield pa.RecordBatch.from_pydict(
             {
                 "row": pa.array(rows),
