@@ -84,10 +84,11 @@ _HINTS = {
     "email": re.compile(r"^(?:mail|e-?mail|contact|correo)\W*$", re.I),
     "ip": re.compile(r"^(?:ip|host|server|address|addr)\W*$", re.I),
 }
+_JOINT = re.compile(r"[\[({]?(?:at|dot)[\])}]?", re.I)
 FEATURES = [
     "bias", "mailish", "ipish", "octets", "cardish", "luhn", "phoneish", "plus", "paren", "at", "hex",
     "letters", "digits<7", "digits7-9", "digits10-12", "digits13-15", "digits16+", "one", "two", "three+",
-    *(f"hint {k}" for k in KINDS), "glued left", "glued right",
+    *(f"hint {k}" for k in KINDS), "glued left", "glued right", "open left", "open right",
 ]
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
@@ -143,6 +144,10 @@ def _features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[in
     if i:
         before = text[toks[i - 1][0] : toks[i - 1][1]]
         names += [f"hint {k}" for k, p in _HINTS.items() if p.match(before)]
+        if _JOINT.fullmatch(before):
+            names.append("open left")
+    if j < len(toks) and _JOINT.fullmatch(text[toks[j][0] : toks[j][1]]):
+        names.append("open right")
     if a > 0 and not text[a - 1].isspace():
         names.append("glued left")
     if b < len(text) and not text[b].isspace():
