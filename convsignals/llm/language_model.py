@@ -228,6 +228,19 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
     return flat.reshape(ROWS + 1, CLASSES).copy()
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(hash, n) of at most ``most`` words: all whose count reaches the least step of a fine scale that leaves so few."""
+    step = F.floor(16 * F.log2("n"))
+    sizes = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
+    least, room = max(sizes, default=0) + 1, most
+    for k in sorted(sizes, reverse=True):
+        room -= sizes[k]
+        if room < 0:
+            break
+        least = k
+    return counts.filter(step >= least).select("hash", "n")
+
+
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """log10 probability of every whole text under a unigram base and under the maximum-entropy model.
 
@@ -257,7 +270,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT)
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     for r in range(rounds):
         model.weights = _round(train.filter(turn == r), model)
-    top = counts.orderBy(F.desc("n"), "hash").limit(frequent).select("hash", "n").toPandas().sort_values("hash")
+    top = _most_frequent(counts, frequent).toPandas().sort_values("hash")
     shared = spark.sparkContext.broadcast((model, top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
