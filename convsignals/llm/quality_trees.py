@@ -138,11 +138,13 @@ def score_statistics(stats: DataFrame, forest: Forest, cut: float = CUT) -> Data
 
 def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, all their columns, whose text scores ``cut`` or more; each row is judged by itself."""
-    forest = fit_statistics(stored(text_statistics(docs)), labels, sample_rows)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    # Stored with their rows: the statistics are computed once, and the filter is not unfolded into them.
+    stats = stored(text_statistics(rows, carry="row"))
+    forest = fit_statistics(stats.drop("row"), labels, sample_rows)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         return pd.Series(forest.scores(np.stack([c.to_numpy(float) for c in columns], 1)))
 
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return text_statistics(rows, carry="row").filter(score(*SHARES) >= cut).select("row.*")
+    return stats.filter(score(*SHARES) >= cut).select("row.*")
