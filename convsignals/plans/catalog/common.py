@@ -10,14 +10,12 @@ from pyspark.sql import types as T
 
 from convsignals.functions.lexicon import LATIN
 from convsignals.functions.text import EMOJI_RUN
+from convsignals.schema import LABEL_MAPPING
 from convsignals.sources import tables as tb
 
 CLASSES = ["interested", "losing_interest"]
 QUALITY_MAPPING = {"interested": ["1"], "losing_interest": ["0"]}
-OUTCOME_MAPPING = {
-    "interested": ["converted", "appointment_set", "pending", "reengaged_pending"],
-    "losing_interest": ["explicit_rejection", "competitor_loss", "delivery_loss", "trust_loss", "ghosted"],
-}
+OUTCOME_MAPPING = LABEL_MAPPING
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -291,7 +291,10 @@ def similar_conversations(spark, folder):
 
 
 def benchmark_similarity(spark, folder):
-    """Most similar accepted benchmark item of each short document, whole tables on both sides."""
+    """Most similar accepted benchmark item of each document, whole tables on both sides.
+
+    The threshold is 50, not the 82 of the operator: documents hold more than the item, so their cosine is lower.
+    """
     items = tb.table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("document"))
     docs = _documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
     return c.rounded(sm.most_similar_accepted(docs, items, "id", 50.0), 4)
