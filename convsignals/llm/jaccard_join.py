@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from convsignals.llm.components import connected_components
 from convsignals.llm.hashing import Words, mix, text_chunks, window_hashes
 from convsignals.llm.tables import released
+from convsignals.operators.blocks import lookup_join
 from convsignals.session import stored
 
 PARTS = 64
@@ -404,8 +405,11 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     often = scan.filter("n < 0").groupBy("a").count().orderBy(F.desc("count"), "a").limit(FREQUENT).select("a").collect()
     frequent = np.array(sorted(r["a"] for r in often), np.int64).view(np.uint64)
     frequent.sort()
-    classes = slim.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    member = stored(slim.filter("n > 0").join(classes, ["n", "a", "b"]).select("doc_id", "rep", "n", "vec"))
+    keyed = slim.filter("n > 0").withColumn("set", F.concat_ws(":", "n", "a", "b"))
+    classes = keyed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # The sets with most copies meet their documents by broadcast, a fixed number of them; no other can be hot.
+    joined = lookup_join(keyed, stored(classes.select("set", "rep", "copies")), "set", "copies", how="inner", row_id="doc_id")
+    member = stored(joined.select("doc_id", "rep", "n", "vec"))
 
     first = stored(_first_shingles(docs, width, percent, frequent))
     total = first.count()
@@ -426,7 +430,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
         apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     )
     regions = stored(connected_components(both.filter(~F.col("open") | may_link).select("a", "b").union(gathered)))
-    weights = regions.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    weights = regions.join(member.filter("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
     whole = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES))
     sizes = weights.groupBy("component").agg(whole.alias("blocks"))
     labels = regions.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("region"), "blocks")
