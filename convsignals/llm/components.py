@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convsignals.session import stored
+from convsignals.llm.tables import released
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest neighbour of a node is aggregated, never its list of neighbours, and each round is a written table.
     """
     e = edges.filter("a is not null and b is not null and a <> b")
-    e = stored(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = released(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(e)
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         star = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(star.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        e = released(star.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         new = _mark(e)
         if new == mark:
             break

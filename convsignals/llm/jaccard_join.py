@@ -24,7 +24,6 @@ from convsignals.llm.components import connected_components
 from convsignals.llm.hashing import Words, mix, text_chunks, window_hashes
 from convsignals.llm.tables import released
 from convsignals.operators.blocks import lookup_join
-from convsignals.session import stored
 
 PARTS = 64
 #: Sets of LONG or more shingles are counted in FINE parts, of which PARTS is a divisor; the bound is blunt with few parts.
@@ -400,7 +399,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     docs = docs.select("doc_id", "text")
     nameless = docs.filter("doc_id is null")
     docs = docs.filter("doc_id is not null")
-    scan = stored(describe(docs, width))
+    scan = released(describe(docs, width))
     slim = scan.filter("n >= 0")
     often = scan.filter("n < 0").groupBy("a").count().orderBy(F.desc("count"), "a").limit(FREQUENT).select("a").collect()
     frequent = np.array(sorted(r["a"] for r in often), np.int64).view(np.uint64)
@@ -408,10 +407,10 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     keyed = slim.filter("n > 0").withColumn("set", F.concat_ws(":", "n", "a", "b"))
     classes = keyed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # The sets with most copies meet their documents by broadcast, a fixed number of them; no other can be hot.
-    joined = lookup_join(keyed, stored(classes.select("set", "rep", "copies")), "set", "copies", how="inner", row_id="doc_id")
-    member = stored(joined.select("doc_id", "rep", "n", "vec"))
+    joined = lookup_join(keyed, released(classes.select("set", "rep", "copies")), "set", "copies", how="inner", row_id="doc_id")
+    member = released(joined.select("doc_id", "rep", "n", "vec"))
 
-    first = stored(_first_shingles(docs, width, percent, frequent))
+    first = released(_first_shingles(docs, width, percent, frequent))
     total = first.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
     met = released(
@@ -429,15 +428,15 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     may_link = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (
         apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     )
-    regions = stored(connected_components(both.filter(~F.col("open") | may_link).select("a", "b").union(gathered)))
+    regions = released(connected_components(both.filter(~F.col("open") | may_link).select("a", "b").union(gathered)))
     weights = regions.join(member.filter("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
     whole = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES))
     sizes = weights.groupBy("component").agg(whole.alias("blocks"))
     labels = regions.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("region"), "blocks")
-    sets = stored(_shipped(docs, labels, width))
+    sets = released(_shipped(docs, labels, width))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     cut = sets.withColumn("key", F.struct("region", mine.alias("block"))).withColumn("key", F.to_json("key")).withColumn("visitor", F.lit(False))
-    links = stored(_joined(cut, percent, False)).filter("a <> b")
+    links = released(_joined(cut, percent, False)).filter("a <> b")
     if sets.filter("blocks > 1").take(1):
         links = links.union(_across(sets, links, percent))
     # Copies of a text are linked to their class already.
@@ -464,12 +463,12 @@ def _across(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         named = wide.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         return named.withColumn("component", F.coalesce("component", "doc_id"))
 
-    now = stored(labelled(links))
+    now = released(labelled(links))
     heads = now.filter("doc_id = component")
     key = F.concat(F.lit("h"), F.col("region").cast("string"))
     heads = heads.withColumn("key", key).withColumn("visitor", F.lit(False))
-    links = stored(links.union(_joined(heads, percent, False).filter("a <> b")))
-    now = stored(labelled(links))
+    links = released(links.union(_joined(heads, percent, False).filter("a <> b")))
+    now = released(labelled(links))
     counts = now.groupBy("region", "component").count()
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
     now = now.join(largest, "region").withColumn("visitor", F.col("component") != F.col("largest"))
