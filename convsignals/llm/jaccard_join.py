@@ -115,11 +115,16 @@ def _merge(comp: np.ndarray, members: np.ndarray) -> None:
 def _gathered(vecs: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
     """Label (first member) of the parts of a group between which no link is possible."""
     comp = np.arange(len(n))
-    for p in range(len(n)):
-        if p and comp[p] == np.bincount(comp).argmax():
-            continue  # what may link with the largest part is found from the other side
-        _merge(comp, np.flatnonzero(_may_link(vecs, n, p, percent)))
-    return comp
+    done = np.zeros(len(n), bool)
+    while True:
+        # What may link with the largest part is found from the other side. Which part that is changes: no member is
+        # passed over for good before all that were not asked lie in the largest part of the end.
+        left = np.flatnonzero(~done & (comp != np.bincount(comp, minlength=1).argmax()))
+        if not len(left):
+            return comp
+        p = left[0]
+        _merge(comp, np.append(np.flatnonzero(_may_link(vecs, n, p, percent)), p))
+        done[p] = True
 
 
 def _threshold_prefix(n: np.ndarray, percent: int) -> np.ndarray:

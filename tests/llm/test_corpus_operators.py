@@ -83,6 +83,28 @@ def test_long_sets_use_finer_bounds(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
 
 
+def test_holder_groups_keep_every_possible_link():
+    def brute(vec, n, percent):
+        root = np.arange(len(n))
+        for a in range(len(n)):
+            for b in np.flatnonzero(jaccard_join._may_link([vec], n, a, percent)):
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+        return root
+
+    line = np.zeros((7, jaccard_join.PARTS), np.int32)
+    line[:, 0], line[:, 1] = 1000, [0, 100, 200, 500, 400, 300, 600]
+    n = np.full(7, 1500)
+    # 0 to 2 gather first, then 3 gathers more; only 2 and 5, both passed over, bridge the two.
+    for vec, percent in ((line, 87), (line[:, ::-1], 87)):
+        assert jaccard_join._gathered([vec], n, percent).tolist() == brute(vec, n, percent).tolist()
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        vec = np.zeros((24, jaccard_join.PARTS), np.int32)
+        vec[:, :2] = rng.integers(0, 60, (24, 2))
+        n = np.full(24, 60)
+        assert jaccard_join._gathered([vec], n, 85).tolist() == brute(vec, n, 85).tolist()
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (11, 12), (12, 13), (13, 10), (5, 5), (None, 4), (20, 13)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
