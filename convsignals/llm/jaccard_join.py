@@ -160,10 +160,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _first_shingles(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(hash, doc, peer): each document with its first shingles in the common order.
+    """(hash, doc): each document with its first shingles in the common order.
 
-    Holders of one shingle inside a chunk meet there: when there are more than SMALL_GROUP, those that may link join the
-    region of the smallest (rows with peer) and it alone asks on, so that a shingle of very many documents is few rows.
+    All holders ask on, but for equal sets of a chunk: the bounds are not transitive, so no document can stand for its like.
     """
     least = next(n for n in range(1, 1000) if 100 * (n - 1) >= percent * n)  # smaller sets link with equal sets only
 
@@ -174,30 +173,14 @@ def _first_shingles(docs: DataFrame, width: int, percent: int, frequent: np.ndar
         keep = np.zeros(len(ids), bool)  # one of the equal sets in the chunk, that with the smallest id
         order = np.lexsort((ids, a))
         keep[order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]] = True if len(ids) else False
-        full = own, h
         late = np.isin(h, frequent) if len(frequent) else np.zeros(len(h), bool)
         order = np.lexsort((h, -size, late, own))
         own, h = own[order], h[order]
         rank = np.arange(len(own)) - np.searchsorted(own, np.arange(len(ids)))[own]
         use = (rank < _threshold_prefix(n, percent)[own]) & (n[own] >= least - 1) & keep[own]
-        h, doc = h[use], ids[own[use]]
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        who = own[use][order]
-        peer = doc.copy()
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
-        if (np.diff(edge) > SMALL_GROUP).any():
-            vecs = _counts(*full, len(ids), bool((n >= LONG).any()))
-            for x, y in zip(edge, edge[1:]):
-                if y - x > SMALL_GROUP:
-                    peer[x:y] = doc[x + _gathered([v[who[x:y]] for v in vecs], n[who[x:y]], percent)]
-        return {
-            "hash": pa.array(h.view(np.int64)),
-            "doc": pa.array(doc),
-            "peer": pa.array(peer, mask=peer == doc),
-        }
+        return {"hash": pa.array(h[use].view(np.int64)), "doc": pa.array(ids[own[use]])}
 
-    return _scan(docs, work, "hash long, doc long, peer long")
+    return _scan(docs, work, "hash long, doc long")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,11 +401,8 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     first = released(_first_shingles(docs, width, percent, frequent))
     total = first.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
-    met = released(
-        first.filter("peer is null").select("hash", "doc").repartition(parts, "hash").mapInArrow(_meet, "x long, y long, open boolean, group long")
-    )
-    local = first.filter("peer is not null").select(F.col("doc").alias("x"), F.col("peer").alias("y"), F.lit(False).alias("open"))
-    pairs = met.filter("group is null").select("x", "y", "open").union(local).groupBy("x", "y").agg(F.min("open").alias("open"))
+    met = released(first.repartition(parts, "hash").mapInArrow(_meet, "x long, y long, open boolean, group long"))
+    pairs = met.filter("group is null").groupBy("x", "y").agg(F.min("open").alias("open"))
     holders = met.filter("group is not null").select("group", F.col("x").alias("doc_id"))
     holders = holders.join(member, "doc_id").select("group", "rep", "n", "vec").repartition(parts, "group")
     gathered = holders.mapInArrow(_part_groups(percent), "a long, b long").filter("a <> b")

@@ -105,6 +105,15 @@ def test_holder_groups_keep_every_possible_link():
         assert jaccard_join._gathered([vec], n, 85).tolist() == brute(vec, n, 85).tolist()
 
 
+def test_drifting_copies_meet_across_chunks(spark):
+    # Twenty edited copies of edited copies in each partition: only the ends of neighbouring partitions are linked.
+    shared = [f"shared-by-every-copy-{k}" for k in range(10)]
+    rows = [(i, " ".join(shared + [f"w{2 * i + k}" for k in range(40)])) for i in range(80)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs, 1, 85).collect()}
+    assert got == brute_components(rows, 1, 85) and {c for _, c in got.values()} == {0}
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (11, 12), (12, 13), (13, 10), (5, 5), (None, 4), (20, 13)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
