@@ -2,7 +2,8 @@
 
 Numbers, units after numbers and capitalised words inside a sentence become typed placeholders, so a question with other
 values has the same template windows. Windows are hash-joined; the slots of matched windows must then map each value of
-the item to one value of the text. Built-in functions only, in expressions that another SQL engine can repeat.
+the item to one value of the text. Beside the templates, a run of verbatim words of any item counts (``verbatim_leaks``).
+Built-in functions only, in expressions that another SQL engine can repeat.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ WIDTH = 8
 LEAST_FIXED = 4
 #: Share of an item's windows that a text must hold, in percent.
 SHARE = 50
+#: Consecutive verbatim words of an item that make a leak (all of a shorter item); letters, in scripts without blanks.
+RUN, RUN_LETTERS = 13, 30
 #: Benchmark windows up to this number are broadcast (their count is checked); more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -28,6 +31,7 @@ MORE_NAME = "(<name> )(\\p{Lu}[\\p{L}']*)"
 MARKS = "[^\\p{L}\\p{N}<>\\x20\\x09-\\x0D]+"
 BLANKS = "[\\x20\\x09-\\x0D]+"
 SLOT = "<(num|unit|name)>"
+UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
 
 
 def template(text: Column) -> Column:
@@ -81,7 +85,84 @@ def template_windows(texts: DataFrame, id_col: str, widths: list[int]) -> DataFr
     return out
 
 
+def verbatim_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Texts that hold RUN consecutive words of an item, or all words of a shorter one, case and punctuation aside.
+
+    The columns of ``leaks``; windows are runs. Letters of scripts without blanks are words; an item with such letters
+    needs RUN_LETTERS of them. Each run of r words of a text holds a block of (r + 1) // 2 words that starts at a
+    multiple of that width: only these blocks of the text meet the blocks of the items at all places, with the words
+    around them to tell how far the run goes.
+    """
+
+    def words(rows: DataFrame, id_col: str) -> DataFrame:
+        t = F.regexp_replace(plain(F.coalesce("text", F.lit(""))), UNSPACED, " $1 ")
+        d = rows.select(F.col(id_col).alias("id"), F.col("text").rlike(UNSPACED).alias("letters"), F.array_remove(F.split(t, BLANKS), "").alias("t"))
+        return d.select("id", "letters", F.transform("t", lambda w: F.xxhash64(w)).alias("hs"))
+
+    def blocks(r: int, every: bool) -> Column:
+        b = (r + 1) // 2
+        around = F.array_repeat(F.lit(None).cast("long"), r - b)
+        padded = F.concat(around, F.col("hs"), around)
+
+        def one(i: Column) -> Column:
+            return F.struct(
+                F.lit(r).alias("run"), i.alias("pos"), F.xxhash64(F.slice("hs", i + 1, b)).alias("h"), F.slice(padded, i + 1, 2 * r - b).alias("near")
+            )
+
+        places = F.sequence(F.lit(0), F.size("hs") - b, F.lit(1 if every else b))
+        return F.when(F.size("hs") >= r, F.transform(places, one)).otherwise(F.array())
+
+    items = words(benchmark.filter("item_id is not null"), "item_id").filter(F.size("hs") > 0).distinct()
+    most = F.when(F.col("letters"), F.lit(RUN_LETTERS)).otherwise(F.lit(RUN))
+    items = items.select("id", "hs", F.least(F.size("hs"), most).alias("run"), F.xxhash64("hs").alias("version"))
+    runs = sorted(r["run"] for r in items.select("run").distinct().collect())
+    if not runs:
+        runs = [RUN]
+    sides = [
+        items.filter(F.col("run") == r).select("id", "version", (F.size("hs") - r + 1).alias("n_windows"), F.explode(blocks(r, True)).alias("w"))
+        for r in runs
+    ]
+    side = sides[0]
+    for more in sides[1:]:
+        side = side.union(more)
+    side = stored(
+        side.select(F.col("id").alias("item_id"), "version", "n_windows", F.col("w.run").alias("run"), F.col("w.pos").alias("item_pos"),
+                    F.col("w.h").alias("h"), F.col("w.near").alias("item_near"))
+    )
+    found = words(docs, "doc_id").select("id", F.explode(F.concat(*[blocks(r, False) for r in runs])).alias("w")).select("id", "w.*")
+    found = found.join(F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side, ["run", "h"])
+    width = F.expr("int((run + 1) div 2)")
+    same = F.zip_with("near", "item_near", lambda x, y: F.coalesce(x == y, F.lit(False)))
+
+    def length(flags: Column) -> Column:
+        """Flags that hold up to the last one without a break."""
+        return F.aggregate(flags, F.lit(0), lambda n, x: F.when(x, n + 1).otherwise(F.lit(0)))
+
+    beside = F.col("run") - width
+    found = found.withColumn("same", same)
+    found = found.withColumn("first", F.col("item_pos") - length(F.slice("same", F.lit(1), beside)))
+    found = found.withColumn("last", F.col("item_pos") + width + length(F.reverse(F.slice("same", beside + width + 1, beside))) - F.col("run"))
+    found = found.filter("last >= first").filter(F.forall(F.slice("same", beside + 1, width), lambda x: x))
+    found = found.select(F.col("id").alias("doc_id"), "item_id", "version", "n_windows", F.explode(F.sequence("first", "last")).alias("start"))
+    found = found.groupBy("doc_id", "item_id", "version", "n_windows").agg(F.countDistinct("start").alias("n_matched"))
+    best = F.max_by(F.struct("n_matched", "n_windows"), F.struct("n_matched", "version"))
+    found = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return found.select(
+        "doc_id", "item_id", F.col("b.n_matched").cast("long").alias("n_matched"), F.col("b.n_windows").cast("long").alias("n_windows"),
+        F.lit(0).cast("long").alias("n_changed"), F.lit(True).alias("verbatim"),
+    )
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """Texts that hold a benchmark item: the rows of ``template_leaks``, and those of ``verbatim_leaks`` for other pairs."""
+    both = template_leaks(docs, benchmark, width, share).withColumn("path", F.lit(0))
+    both = both.union(verbatim_leaks(docs, benchmark).withColumn("path", F.lit(1)))
+    values = ["n_matched", "n_windows", "n_changed", "verbatim"]
+    first = both.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*values), "path").alias("row"))
+    return first.select("doc_id", "item_id", *[f"row.{c}" for c in values])
+
+
+def template_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """Texts that hold a benchmark item, verbatim or with other parameters.
 
     One row per (doc_id, item_id): n_matched and n_windows (long; windows of the item found, and all), n_changed (long: item
@@ -140,7 +221,7 @@ def _sql(text: str) -> str:
 
 
 def oracle(width: int = WIDTH, share: int = SHARE) -> str:
-    """The same rows in DuckDB, for benchmarks whose items have at least ``width`` words."""
+    """The rows of ``template_leaks`` in DuckDB, for benchmarks whose items have at least ``width`` words."""
     blank, marks = f"'{BLANKS}'", "'" + MARKS + "'"
 
     def side(name: str, id_col: str) -> str:

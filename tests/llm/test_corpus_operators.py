@@ -232,6 +232,33 @@ def test_decontamination(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_verbatim_runs_leak(spark):
+    table = "add 3 7 12 km and 5 9 14 kg to get 21 88 31 m"
+    twice = "a farmer sells 40 eggs on monday and then on friday of that same week the farmer sells 40 eggs again"
+    long = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(59))
+    bench = [(0, table), (1, "Ohm's law"), (2, "北京是中国的首都"), (3, twice), (4, long), (5, None), (None, "other words here")]
+    docs = [
+        (10, f"Intro. {table.upper()}, end"),
+        (11, "we use ohms law, here"),
+        (12, "大家知道北京是中国的首都。"),
+        (13, twice.replace("40 eggs again", "50 eggs again")),
+        (14, "x y " + " ".join(long.split()[20:40]) + " z"),
+        (15, " ".join(long.split()[20:33])),
+        (16, " ".join(long.split()[20:32]) + " and " + " ".join(long.split()[33:45])),
+        (17, table.replace("7", "8").replace("14", "15")),
+        (None, "ohms law"),
+        (18, None),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows) for r in decontaminate.verbatim_leaks(docs, bench).collect()}
+    one = (1, 1)
+    assert got == {(10, 0): (4, 4), (11, 1): one, (12, 2): one, (13, 3): (6, 9), (14, 4): (8, 47), (15, 4): (1, 47), (None, 1): one}
+    pairs = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()]
+    assert set(got) <= set(pairs) and len(set(pairs)) == len(pairs)
+    assert decontaminate.verbatim_leaks(docs, bench.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
