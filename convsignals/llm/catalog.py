@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from convsignals.llm import (
     decontaminate,
+    divergence,
     jaccard_join,
     language_model,
     mixing,
@@ -65,6 +66,10 @@ def op10_template_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +83,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_doubling_dedup,
         op10_template_decontamination,
+        op11_source_divergence,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -86,6 +92,7 @@ ORACLES: dict[str, str] = {
     "op6_warc_revisits": warc.oracle(),
     "op7_raked_mixture": mixing.oracle(),
     "op10_template_decontamination": decontaminate.oracle(),
+    "op11_source_divergence": divergence.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
