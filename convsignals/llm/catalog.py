@@ -11,6 +11,7 @@ from convsignals.llm import (
     divergence,
     jaccard_join,
     language_model,
+    minhash,
     mixing,
     personal_data,
     quality_rules,
@@ -70,6 +71,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op13_minhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op9_doubling_dedup,
         op10_template_decontamination,
         op11_source_divergence,
+        op13_minhash_duplicates,
     )
 } | {"pipeline": corpus_pipeline.run}
 
