@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from convsignals.llm import (
+    collocations,
     decontaminate,
     divergence,
     jaccard_join,
@@ -71,6 +72,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_minhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES = {
         op9_doubling_dedup,
         op10_template_decontamination,
         op11_source_divergence,
+        op12_phrase_collocations,
         op13_minhash_duplicates,
     )
 } | {"pipeline": corpus_pipeline.run}
@@ -99,6 +105,7 @@ ORACLES: dict[str, str] = {
     "op7_raked_mixture": mixing.oracle(),
     "op10_template_decontamination": decontaminate.oracle(),
     "op11_source_divergence": divergence.oracle(),
+    "op12_phrase_collocations": collocations.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
