@@ -76,8 +76,7 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
             )
 
     found = _coded(docs).mapInArrow(run, "lang string, id long, word string, n long")
-    # A word's string is carried once for each chunk; its id stands for it in the sum.
-    sums = released(found.groupBy("lang", "id").agg(F.first("word").alias("word"), F.sum("n").alias("n")))
+    sums = released(found.groupBy("lang", "id", "word").agg(F.sum("n").alias("n")))
     whole = sums.groupBy("lang").agg(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("word"), F.sum("n").alias("n"))
     return sums.filter(F.col("n") >= least).unionByName(whole)
 
@@ -142,7 +141,9 @@ def frequent_phrases(docs: DataFrame, k: int, shorter: DataFrame, least: int = L
         stay = first[np.add.reduceat(n, first) >= least] if len(first) else first
         yield pa.RecordBatch.from_pydict({c: pa.array(x[stay]) for c, x in zip(w, ids)})
 
-    return dealt.mapInArrow(enough, schema)
+    out = released(dealt.mapInArrow(enough, schema))
+    shared.unpersist()
+    return out
 
 
 def _arrow_keys(phrases: DataFrame) -> DataFrame:
@@ -353,23 +354,24 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ab
     counts = {1: known.select(F.col("id").alias("w1"), F.col("n").alias("a"))}
     shorter = counts[1].select("w1")
     for k in range(2, longest + 1):
-        shorter = released(frequent_phrases(docs, k, shorter, least))
+        shorter = frequent_phrases(docs, k, shorter, least)
         counts[k] = phrase_counts(docs, shorter, k, trie)
     langs = known.select(F.col("id").alias("w1"), "lang")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     spelled = known.select("id", "word")
     rows = None
     for k in range(2, longest + 1):
-        found = _scored(counts, k)
+        # Each step is a table of its own: one plan of all joins would weigh on the driver.
+        found = released(_scored(counts, k))
         if k < longest:
             found = found.join(_absorbed(counts, k, longest), _w(1, k), "left").filter(f"longer is null or 100 * longer < {absorbed} * a")
         found = found.join(langs, "w1")
         # Phrases that tie with the last place stay until they are spelled.
-        found = found.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top)
+        found = released(found.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top))
         for i in range(1, k + 1):
             found = found.join(spelled.select(F.col("id").alias(f"w{i}"), F.col("word").alias(f"word{i}")), f"w{i}")
         phrase = F.concat_ws(" ", *[f"word{i}" for i in range(1, k + 1)]).alias("phrase")
-        found = found.select("lang", phrase, "a", "l", "r", "score")
+        found = released(found.select("lang", phrase, "a", "l", "r", "score"))
         rows = found if rows is None else rows.union(found)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     rows = rows.withColumn("rank", place.cast("long")).filter(F.col("rank") <= top)
@@ -385,7 +387,8 @@ WITH pieces AS (
         FROM (SELECT coalesce(lang, 'und') AS lang,
                      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                '[.,;:!?
--]')) AS part
+-
+]')) AS part
               FROM documents))
 ), w AS (SELECT piece, lang, generate_subscripts(words, 1) AS pos, unnest(words) AS w1 FROM pieces),
 runs AS (
