@@ -24,6 +24,7 @@ from convsignals.operators import metrics as mx
 from convsignals.operators.standardize import apply_scaler, fit_scaler
 from convsignals.operators.tfidf import term_counts, vocabulary, word_terms
 from convsignals.schema import POSITIVE_CLASS, assert_no_leakage
+from convsignals.session import stored
 
 SEED = 42
 
@@ -121,8 +122,8 @@ def train_and_select(
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     keep = [key, "label", "label_id", "split", "features"]
     inputs = {
-        "logistic_regression": assembler.transform(apply_scaler(rows, scaler, names)).select(*keep).persist(),
-        "random_forest": assembler.transform(rows).select(*keep).persist(),
+        "logistic_regression": stored(assembler.transform(apply_scaler(rows, scaler, names)).select(*keep)),
+        "random_forest": stored(assembler.transform(rows).select(*keep)),
     }
     n_train = inputs["logistic_regression"].where("split = 'train'").count()
     estimators = {
@@ -242,14 +243,12 @@ def fit_text_model(
     """TF-IDF with balanced logistic regression, fitted on the given training rows only."""
     terms = word_terms(F.col(text))
     counts = term_counts(train, key, terms)
-    vocab = _indexed(vocabulary(counts, train, max_features, 1, max_df)).persist()
+    vocab = stored(_indexed(vocabulary(counts, train, max_features, 1, max_df)))
     size = vocab.count()
     vectors = text_vectors(train, vocab, size, key, terms)
     rows = with_balanced_weight(with_class_number(train.select(key, label), classes, label), classes, label)
-    rows = rows.join(vectors, key).select("features", "label_id", "weight").persist()
-    n = rows.count()
-    model = logistic_regression(n, weighted=True, max_iter=max_iter).fit(rows)
-    rows.unpersist()
+    rows = stored(rows.join(vectors, key).select("features", "label_id", "weight"))
+    model = logistic_regression(rows.count(), weighted=True, max_iter=max_iter).fit(rows)
     return TextModel(vocab, size, model, sorted(classes))
 
 
@@ -257,8 +256,11 @@ def fit_text_model(
 def fusion_table(
     vectors: DataFrame, features: DataFrame, names: Sequence[str], key: str, embedding: str = "embedding"
 ) -> DataFrame:
-    """Frozen text vector followed by behavioral features, as one ``features`` vector."""
-    joined = vectors.join(features, key)
+    """Frozen text vector followed by behavioral features, as one ``features`` vector.
+
+    A vector without a row of features keeps zeros in their place.
+    """
+    joined = vectors.join(features, key, "left").fillna(0.0, subset=list(names))
     both = F.concat(F.col(embedding).cast("array<double>"), F.array(*[F.col(n).cast("double") for n in names]))
     return joined.withColumn("features", array_to_vector(both))
 

@@ -1,16 +1,92 @@
-"""Exact percentiles of long ``(group, value)`` tables without sorting a group in one task."""
+"""Exact percentiles of long ``(group, value)`` tables by distributed selection: no group is ordered in one task."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bins of one round; a band keeps about this part of its rows.
+BINS = 64
 ACCURACY = 10_000
-# Wider than the error of the approximation plus two rows, for groups larger than SMALL_GROUP.
-_MARGIN = 0.002
-SMALL_GROUP = 2_000
+#: A band of so few rows is counted value by value.
+SMALL_BAND = 2_000
+
+
+@dataclass
+class _Target:
+    """The value at position ``index`` of a group's sorted values lies in [low, high]; ``below`` values are less than low."""
+
+    number: int
+    group: Any
+    index: int
+    low: Any
+    high: Any
+    below: int
+    inside: int
+
+    @property
+    def found(self) -> bool:
+        return self.low == self.high
+
+
+def _banded(values: DataFrame, targets: list[_Target], extra: dict[int, Any] | None = None) -> DataFrame:
+    """Rows (target, value) of each target's band. Targets are a fixed few, so they are broadcast."""
+    group, value = values.schema["group"], values.schema["value"]
+    schema = T.StructType(
+        [
+            T.StructField("target", T.IntegerType()),
+            T.StructField("group", group.dataType),
+            T.StructField("low", value.dataType),
+            T.StructField("high", value.dataType),
+            T.StructField("edges", T.ArrayType(value.dataType)),
+        ]
+    )
+    rows = [(t.number, t.group, t.low, t.high, (extra or {}).get(t.number)) for t in targets]
+    bands = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
+    inside = values.alias("v").join(bands.alias("b"), F.col("v.group").eqNullSafe(F.col("b.group")))
+    return inside.where("v.value >= b.low AND v.value <= b.high").select("target", "value", "edges")
+
+
+def _narrow(values: DataFrame, targets: list[_Target]) -> None:
+    """Cut each band at approximate quantiles of its rows and keep the bin that holds the position."""
+    points = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    cut = _banded(values, targets).groupBy("target").agg(F.percentile_approx("value", points, F.lit(ACCURACY)).alias("edges"))
+    edges = {r["target"]: sorted(set(r["edges"])) for r in cut.collect()}
+    # A value that fills many quantiles becomes a bin of its own: an edge counts as twice the number of edges up to it.
+    place = F.size(F.filter("edges", lambda e: e < F.col("value"))) + F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    bins = (
+        _banded(values, targets, edges)
+        .groupBy("target", place.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    found: dict[int, list] = {}
+    for r in bins.collect():
+        found.setdefault(r["target"], []).append(r)
+    for t in targets:
+        for r in sorted(found[t.number], key=lambda r: r["bin"]):
+            if t.index < t.below + r["n"]:
+                t.low, t.high, t.inside = r["low"], r["high"], r["n"]
+                break
+            t.below += r["n"]
+
+
+def _count(values: DataFrame, targets: list[_Target]) -> None:
+    """Find the position in small bands from the counts of their distinct values."""
+    counts: dict[int, list] = {}
+    for r in _banded(values, targets).groupBy("target", "value").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["target"], []).append((r["value"], r["n"]))
+    for t in targets:
+        for value, n in sorted(counts[t.number]):
+            if t.index < t.below + n:
+                t.low = t.high = value
+                break
+            t.below += n
 
 
 def exact_percentiles(
@@ -22,70 +98,45 @@ def exact_percentiles(
 ) -> DataFrame:
     """Rows ``(group, fraction, percentile)``; groups are few (a list of features or measures).
 
-    An approximate pass brackets each percentile in a band of 0.4 % of the rows (small groups are
-    one band). An exact pass counts the rows below the band and the distinct values inside it, so only the band is
-    ever ordered. ``linear`` interpolates at (n-1)*p; ``nearest`` takes the value at index
-    min(floor(n*p), n-1) of the sorted rows.
+    Each sought position is bracketed by a band of values. In rounds, the rows of a band are counted in bins whose edges
+    are approximate quantiles of the band, so whatever the distribution the bin that holds the position has about 1/BINS of
+    the rows; a band that holds one value, or few rows, ends the search. Counts of bins reach the driver, never rows. Nulls are
+    left out and a group without values has no row. ``linear`` interpolates at (n-1)*p; ``nearest`` takes the value at
+    index min(floor(n*p), n-1) of the sorted rows.
     """
-    lows = [F.lit(max(p - _MARGIN, 0.0)) for p in fractions]
-    highs = [F.lit(min(p + _MARGIN, 1.0)) for p in fractions]
-
-    def approx(points: list[Column]) -> Column:
-        return F.percentile_approx(F.col(value), F.array(*points), F.lit(ACCURACY))
-
-    bands = values.groupBy(group).agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("least"),
-        F.max(value).alias("most"),
-        approx(lows).alias("lows"),
-        approx(highs).alias("highs"),
-    )
-    small = F.col("n") <= SMALL_GROUP
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("fraction"),
-                    F.when(small | F.lit(p <= _MARGIN), F.col("least")).otherwise(F.col("lows")[i]).alias("low"),
-                    F.when(small | F.lit(p >= 1 - _MARGIN), F.col("most")).otherwise(F.col("highs")[i]).alias("high"),
-                )
-                for i, p in enumerate(fractions)
-            ]
-        )
-    )
-    bands = bands.select(group, "n", wanted.alias("w")).select(group, "n", "w.fraction", "w.low", "w.high")
-    if method == "linear":
-        place = (F.col("n") - 1) * F.col("fraction")
-        first, second = F.floor(place), F.ceil(place)
-    else:
-        first = F.least(F.floor(F.col("n") * F.col("fraction") + 1e-9), F.col("n") - 1)
-        second = first
-    bands = bands.withColumns({"first": first, "second": second})
-
-    # One row per (group, fraction): broadcasting it is bounded by the number of groups.
-    inside = values.select(group, value).join(F.broadcast(bands), group).where(F.col(value) <= F.col("high"))
-    counted = inside.groupBy(
-        group,
-        "fraction",
-        "n",
-        "first",
-        "second",
-        F.when(F.col(value) >= F.col("low"), F.col(value)).alias("_value"),
-    ).agg(F.count(F.lit(1)).alias("_rows"))
-    upto = F.sum("_rows").over(
-        Window.partitionBy(group, "fraction").orderBy(F.col("_value").asc_nulls_first())
-    )
-    placed = counted.withColumn("_upto", upto)
-
-    def at(index: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > index, F.col("_value"))).cast("double")
-
-    picked = placed.groupBy(group, "fraction", "n").agg(
-        at(F.col("first")).alias("a"), at(F.col("second")).alias("b"), F.max("first").alias("first")
-    )
-    if method == "nearest":
-        return picked.select(group, "fraction", F.col("a").alias("percentile"))
-    weight = (F.col("n") - 1) * F.col("fraction") - F.col("first")
-    return picked.select(
-        group, "fraction", (F.col("a") + (F.col("b") - F.col("a")) * weight).alias("percentile")
+    spark = values.sparkSession
+    rows = values.select(F.col(group).alias("group"), F.col(value).alias("value")).where("value IS NOT NULL")
+    ends = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    targets: list[_Target] = []
+    wanted = []
+    for e in ends:
+        for p in fractions:
+            if method == "linear":
+                place = (e["n"] - 1) * p
+                first, second, weight = math.floor(place), math.ceil(place), place - math.floor(place)
+            else:
+                first = second = min(math.floor(e["n"] * p + 1e-9), e["n"] - 1)
+                weight = 0.0
+            pair = []
+            for index in (first, second):
+                known = next((t for t in targets if t.group == e["group"] and t.index == index), None)
+                if known is None:
+                    known = _Target(len(targets), e["group"], index, e["low"], e["high"], 0, e["n"])
+                    targets.append(known)
+                pair.append(known)
+            wanted.append((e["group"], float(p), *pair, weight))
+    while open_ := [t for t in targets if not t.found]:
+        wide = [t for t in open_ if t.inside > SMALL_BAND]
+        if wide:
+            _narrow(rows, wide)
+        else:
+            _count(rows, open_)
+    out = [(g, p, float(a.low) + (float(b.low) - float(a.low)) * w) for g, p, a, b, w in wanted]
+    schema = T.StructType(
+        [
+            T.StructField(group, values.schema[group].dataType),
+            T.StructField("fraction", T.DoubleType()),
+            T.StructField("percentile", T.DoubleType()),
+        ]
     )
+    return spark.createDataFrame(out, schema)

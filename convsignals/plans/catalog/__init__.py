@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convsignals.plans.catalog import corpus, learning, messages, outcomes, streams
+from convsignals.plans.catalog import corpus, files, learning, messages, outcomes, streams
 
-FAMILIES = [messages, outcomes, corpus, learning, streams]
+FAMILIES = [messages, outcomes, corpus, learning, streams, files]
 
 
 def all_queries() -> dict:

@@ -13,6 +13,8 @@ from convsignals.operators import quality as ql
 from convsignals.operators import similarity as sm
 from convsignals.operators import tfidf as tf
 from convsignals.operators import validate as vl
+from convsignals.operators.conversation import explode_messages
+from convsignals.plans import corpus_build
 from convsignals.plans.catalog import common as c
 from convsignals.plans.catalog.messages import NORM_SQL
 from convsignals.session import stored
@@ -269,6 +271,44 @@ def benchmark_matches(spark, folder):
     return c.rounded(dp.best_fuzzy_matches(dp.message_index(dp.with_norm(items)), old))
 
 
+def _versions(spark, folder):
+    """A batch in which every conversation comes three times, each longer than the one before by a fifth of its texts.
+
+    Neighbours are near copies, the first and the third are not, so the third depends on the second being rejected.
+    """
+
+    nested = _nested(spark, folder).withColumn("version", F.explode(F.array(*[F.lit(v) for v in range(3)])))
+
+    def text(m):
+        def grow(t):
+            return F.concat(t, F.lit(" "), F.substring(t, F.lit(1), F.floor(F.length(t) / 5).cast("int")))
+
+        once = grow(m["text"])
+        return m.withField("text", F.when(F.col("version") == 0, m["text"]).when(F.col("version") == 1, once).otherwise(grow(once)))
+
+    grown = nested.withColumn("messages", F.transform("messages", text))
+    return grown.withColumn("conversation_id", F.concat_ws("-", "conversation_id", F.col("version").cast("string"))).drop("version")
+
+
+def version_fuzzy_matches(spark, folder):
+    """Best fuzzy match of every distinct text of the grown conversations among all of them."""
+    index = dp.message_index(dp.with_norm(explode_messages(_versions(spark, folder))))
+    return c.rounded(dp.best_fuzzy_matches(index, index, same=True))
+
+
+def corpus_accept(spark, folder):
+    """Grown conversations taken in order, each accepted or rejected for its likeness to accepted ones.
+
+    Documents are not compared (threshold above 100): three versions of a conversation are too alike as a whole.
+    """
+    new = _versions(spark, folder)
+    issues = corpus_build.accept_batch(new, new.where("false"), conversation_threshold=101.0)
+    order = F.struct("pos", "issue")
+    first = issues.groupBy("conversation_id").agg(F.min_by(F.struct("issue", "pos", "match"), order).alias("m"))
+    out = new.select("conversation_id").join(first, "conversation_id", "left")
+    return c.rounded(out.select("conversation_id", F.coalesce("m.issue", F.lit("accepted")).alias("decision"), "m.pos", "m.match"))
+
+
 # ---------------------------------------------------------------- similarity
 def tfidf_weights(spark, folder):
     docs = tb.text_table(spark, folder, "documents").select("doc_id", "text")
@@ -333,6 +373,8 @@ QUERIES = {
         fuzzy_matches,
         turn_fuzzy_matches,
         benchmark_matches,
+        version_fuzzy_matches,
+        corpus_accept,
         tfidf_weights,
         similar_conversations,
         benchmark_similarity,

@@ -14,6 +14,7 @@ from convsignals.operators import split as sp
 from convsignals.operators import standardize as st
 from convsignals.plans import early_detection, text_baseline
 from convsignals.plans.catalog import common as c
+from convsignals.session import stored
 from convsignals.sources import tables as tb
 
 FOREST_TREES = 200
@@ -57,7 +58,7 @@ def feature_coefficients(spark, folder):
     table = md.with_class_number(_behavior_table(spark, folder), c.CLASSES)
     train = st.standardized(table, S.PURE_FEATURES).where("split = 'train'")
     rows = md.VectorAssembler(inputCols=S.PURE_FEATURES, outputCol="features").transform(train)
-    rows = rows.select("features", "label_id").persist()
+    rows = stored(rows.select("features", "label_id"))
     model = md.logistic_regression(rows.count()).fit(rows)
     return md.importance_table(spark, model, S.PURE_FEATURES)
 
@@ -72,16 +73,18 @@ def prefix_classifier_metrics(spark, folder):
 
 
 def fusion_metrics(spark, folder):
-    """Embedding and behavior joined by id; the class is the parity half of the embedding label."""
+    """Every embedding with the behavior of its id, zeros where there is none; the class is the half of the embedding label."""
     names = S.PURE_FEATURES
-    table = _behavior_table(spark, folder, names).drop("label")
-    scaled = st.standardized(table, names)
     vectors = tb.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("conversation_id"),
         "embedding",
         F.when(F.col("label") < 5, "interested").otherwise("losing_interest").alias("label"),
     )
-    rows = md.with_class_number(md.fusion_table(vectors, scaled, names, "conversation_id"), c.CLASSES).persist()
+    split = sp.stratified_split(vectors.select("conversation_id", "label")).drop("label")
+    messages = c.timed(spark, folder).withColumn("message_length_chars", F.length("text"))
+    table = bh.feature_rows(split, bh.behavioral_features(messages, names))
+    fused = md.fusion_table(vectors, st.standardized(table, names), names, "conversation_id")
+    rows = stored(md.with_class_number(fused, c.CLASSES).select("conversation_id", "label", "label_id", "split", "features"))
     width = len(rows.select("features").first()[0])
     model = md.fusion_classifier(width).fit(rows.where("split = 'train'"))
     scored = md.as_predictions(model.transform(rows.where("split = 'test'")), c.CLASSES, "conversation_id")

@@ -98,7 +98,7 @@ def feature_statistics(spark, folder):
     return c.rounded(pf.feature_statistics(features, S.PURE_FEATURES))
 
 
-SCALED = ["total_messages", "mean_response_delay_customer", "session_count", "response_delay_change"]
+SCALED = S.PURE_FEATURES
 
 
 def standardized_features(spark, folder):

@@ -27,7 +27,7 @@ def _records(spark, folder):
     labels = tb.table(spark, folder, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("record_id"),
-        F.when(F.col("lang") != "de", F.col("text")).alias("raw_text"),
+        F.col("text").alias("raw_text"),
         F.col("quality").cast("string").alias("raw_label"),
         "lang",
         "toxic",
@@ -296,7 +296,7 @@ QUERIES = {
     ]
 }
 
-_RECORDS = """recs AS (SELECT d.doc_id AS record_id, CASE WHEN lang <> 'de' THEN text END AS raw_text,
+_RECORDS = """recs AS (SELECT d.doc_id AS record_id, text AS raw_text,
   CAST(quality AS VARCHAR) AS raw_label, lang, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 _QUALITY = "CASE quality WHEN 1 THEN 'interested' ELSE 'losing_interest' END"
 _LABELS = f"lab AS (SELECT l.doc_id AS record_id, {_QUALITY} AS label FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"

@@ -15,6 +15,7 @@ from convsignals.operators import metrics as mx
 from convsignals.operators.behavior import prefix_features
 from convsignals.operators.models import as_predictions, logistic_regression, with_class_number
 from convsignals.operators.standardize import apply_scaler, fit_scaler
+from convsignals.session import stored
 
 SELECTION_FRACTIONS = [0.25, 0.50, 0.75]
 
@@ -51,7 +52,7 @@ def run(
     scaler = fit_scaler(table.where("split = 'train'"), names)
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     rows = assembler.transform(apply_scaler(with_class_number(table, classes), scaler, names))
-    rows = rows.select("conversation_id", "fraction", "label", "label_id", "split", "features").persist()
+    rows = stored(rows.select("conversation_id", "fraction", "label", "label_id", "split", "features"))
     train = rows.where("split = 'train'")
     n = train.count()
 

@@ -12,6 +12,7 @@ from convsignals.operators import labels as lb
 from convsignals.operators import metrics as mx
 from convsignals.operators.models import TextModel, as_predictions, fit_text_model
 from convsignals.operators.split import two_way_split
+from convsignals.session import stored
 
 
 @dataclass
@@ -37,7 +38,7 @@ def run(
     classes = sorted(mapping)
     dataset = lb.baseline_dataset(records, mapping, min_per_class)
     assigned = two_way_split(dataset, test=test) if split is None else split
-    rows = dataset.join(assigned.select("record_id", "split"), "record_id").persist()
+    rows = stored(dataset.join(assigned.select("record_id", "split"), "record_id"))
     model = fit_text_model(rows.where("split = 'train'"), classes, max_iter=max_iter)
     held_out = rows.where("split = 'test'").select("record_id", "raw_text", "label")
     scored = model.score(held_out).join(held_out.select("record_id", "label"), "record_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convsignals.schema import in_canonical_order
 from convsignals.operators.decode import RAW_CHARS
+from convsignals.sources.versions import publish
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -40,7 +41,8 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
-    """Canonical field order; the commit protocol publishes complete output only."""
+    """Canonical field order. Overwriting deletes the old table before the new one is committed; ``versions.publish``
+    replaces a table that others read."""
     in_canonical_order(corpus).write.mode("overwrite").parquet(path)
 
 
@@ -58,3 +60,8 @@ def write_statistics(path: str, **tables: DataFrame) -> None:
     """One table per result (bootstrap, tests, errors), each keyed by fraction."""
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def publish_corpus(corpus: DataFrame, path: str) -> int:
+    """The next version of a corpus in canonical field order; see ``versions.publish``."""
+    return publish(in_canonical_order(corpus), path)

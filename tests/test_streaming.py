@@ -69,6 +69,24 @@ def test_intake_tells_rows_apart_by_row_id(spark):
     assert got == {1: (None, None), 2: (None, None), 3: ("fuzzy_in_batch", "1"), 4: ("duplicate_in_batch", "2")}
 
 
+def test_intake_compares_with_accepted_rows_only(spark):
+    """In a chain A ~ B ~ C without A ~ C, B goes and C stays; copies follow their speaker."""
+    a = "we would like to order forty chairs for the office"
+    b = a + " by june"
+    c = b + " or july"
+    ids = "row_id long, conversation_id string, pos int, role string, text string"
+    rows = [(i, f"c{i}", 0, "customer", t) for i, t in enumerate([a, b, c, b, c], 1)]
+    index = spark.createDataFrame([], intake.INDEX_SCHEMA)
+    got = {r["row_id"]: (r["issue"], r["match"]) for r in intake.judge_batch(spark.createDataFrame(rows, ids), index, 91.0).collect()}
+    assert got == {
+        1: (None, None),
+        2: ("fuzzy_in_batch", "1"),
+        3: (None, None),
+        4: ("fuzzy_in_batch", "1"),
+        5: ("duplicate_in_batch", "3"),
+    }
+
+
 def test_running_features_equal_batch(spark, tmp_path):
     rows = spark.range(60).select(
         (F.col("id") % 4).alias("conversation_id"),
@@ -104,6 +122,69 @@ def test_stream_sessions(spark, tmp_path):
     assert {r["conversation_id"]: r["count"] for r in got} == {1: 2, 2: 1}
 
 
+def test_ended_conversations_leave_the_state(spark, tmp_path):
+    """Three deliveries; each conversation is given out once, and the state is empty after a closing row."""
+    def at(minute):
+        return f"2025-01-01 {10 + minute // 60:02d}:{minute % 60:02d}:00"
+
+    schema = "conversation_id long, pos int, role string, t string, message_length_chars int, response_delay_minutes int"
+    deliveries = [
+        [(1, 0, "customer", at(0), 10, 0), (2, 0, "customer", at(5), 7, 0)],
+        [(1, 1, "business", at(20), 30, 20), (1, 2, "customer", at(30), 20, 10)],
+        # Much later; the watermark has not moved there yet, so conversation 2 still takes a row.
+        [(3, 0, "customer", at(600), 5, 0), (2, 1, "customer", at(6), 99, 1)],
+        # A batch works with the watermark of the one before it.
+        [(None, None, None, "2026-01-01 00:00:00", None, None)],
+        [(None, None, None, "2026-01-01 00:00:00", None, None)],
+    ]
+    folder, out, late = (str(tmp_path / n) for n in ("in", "out", "late"))
+    rows, names = None, ["total_messages", "customer_messages", "total_customer_chars", "max_response_delay_customer"]
+    left, dropped = [], 0
+    for part in deliveries:
+        frame = spark.createDataFrame(part, schema).withColumn("ts", F.to_timestamp("t")).drop("t")
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        rows = file_stream(spark, folder, frame.schema)
+        result = running.ended_features(rows, idle="2 hours", late="10 minutes", names=names)
+        query = running.run_batches(result, running.appended_table(out), str(tmp_path / "cp"))
+        query.awaitTermination()
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        dropped += sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress)
+        running.run_batches(rows, running.late_rows(late, late="10 minutes", gap="2 hours"), str(tmp_path / "lp")).awaitTermination()
+    got = {r["conversation_id"]: tuple(r[n] for n in names) for r in running.read_appended(spark, out).collect()}
+    assert got == {1: (3, 2, 30, 10), 2: (2, 2, 106, 1), 3: (1, 1, 5, 0)}
+    assert left[-1] == 0 and max(left) > 0
+    assert running.read_appended(spark, out).count() == 3
+    assert [(r["conversation_id"], r["pos"]) for r in spark.read.parquet(f"{late}/late").collect()] == []
+    assert dropped == 0
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    def rows(*items):
+        frame = spark.createDataFrame(list(items), "conversation_id long, t string")
+        return frame.select("conversation_id", F.to_timestamp("t").alias("ts"))
+
+    folder, out, late = (str(tmp_path / n) for n in ("in", "out", "late"))
+    dropped = 0
+    for part in (
+        rows((1, "2025-01-01 10:00:00"), (2, "2025-01-01 20:00:00")),
+        rows((1, "2025-01-01 10:10:00"), (2, "2025-01-01 20:10:00"), (3, "2025-01-01 19:00:00")),
+        rows((None, "2025-02-01 00:00:00")),
+        rows((None, "2025-02-01 00:00:00")),
+    ):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = file_stream(spark, folder, part.schema)
+        query = running.run_batches(running.stream_sessions(stream), running.appended_table(out), str(tmp_path / "cp"))
+        query.awaitTermination()
+        dropped += sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress)
+        running.run_batches(stream, running.late_rows(late), str(tmp_path / "lp")).awaitTermination()
+    got = sorted((r["conversation_id"], r["messages"]) for r in running.read_appended(spark, out).collect())
+    assert got == [(1, 1), (2, 2), (3, 1)]
+    aside = [(r["conversation_id"], str(r["ts"])) for r in spark.read.parquet(f"{late}/late").collect()]
+    assert aside == [(1, "2025-01-01 10:10:00")] and dropped == len(aside)
+    # Replaying a batch replaces its own directory only.
+    running.appended_table(out)(spark.createDataFrame([], "conversation_id long, messages long, first_ts timestamp, last_ts timestamp"), 0)
+
+
 def test_stream_copies(spark, tmp_path):
     rows = spark.createDataFrame([("same text",), ("same  text.",), ("other",)], "text string").withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
     folder = str(tmp_path / "in")
