@@ -29,9 +29,9 @@ ABSORBED = 50
 #: Phrases returned for a language.
 TOP = 2000
 #: Phrases in one trie, which is the most that is broadcast at a time; more are counted by further passes.
-TRIE = 1_000_000
-#: Values of one symbol; a word after the first is spelled in symbols.
-RADIX = 128
+TRIE = 500_000
+#: Symbols that spell a word after the first.
+DIGITS = 3
 #: Phrases that a task gathers before it hands on their evidence.
 GATHERED = 4_000_000
 _BREAKS = [ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]
@@ -157,12 +157,14 @@ def _arrow_keys(phrases: DataFrame) -> DataFrame:
 class Trie:
     """A double array over phrases of equal length: the slot of a child is the base of its parent plus the symbol.
 
-    The first word of a phrase is its number among ``words`` and at once its slot; each further word is spelled in ``digits``
-    symbols. ``check`` names the parent of a slot; the base of a slot at the end of a phrase is the phrase's number.
+    The first word of a phrase is its number among ``words`` and at once its slot; each further word is spelled in DIGITS
+    symbols, of as few values as can tell the words apart. ``check`` names the parent of a slot; the base of a slot at the
+    end of a phrase is the phrase's number.
     """
 
-    def __init__(self, words: np.ndarray, digits: int, base: np.ndarray, check: np.ndarray):
-        self.words, self.digits, self.base, self.check = words, digits, base, check
+    def __init__(self, words: np.ndarray, base: np.ndarray, check: np.ndarray):
+        self.words, self.base, self.check = words, base, check
+        self.radix = next(r for r in range(2, 1 << 20) if r**DIGITS >= len(words))
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """Number of each word, -1 where the trie has none."""
@@ -172,7 +174,7 @@ class Trie:
         return np.where(self.words[at] == ids, at, -1)
 
     def symbols(self, codes: np.ndarray, digit: int) -> np.ndarray:
-        return codes // RADIX ** (self.digits - 1 - digit) % RADIX
+        return codes // self.radix ** (DIGITS - 1 - digit) % self.radix
 
     def count(self, ids: np.ndarray, goes: np.ndarray, k: int, n: int) -> np.ndarray:
         """Occurrences of each of the ``n`` phrases of ``k`` words among consecutive words."""
@@ -184,7 +186,7 @@ class Trie:
             at, state = at[on], state[on]
             on = codes[at + step] >= 0
             at, state = at[on], state[on]
-            for digit in range(self.digits):
+            for digit in range(DIGITS):
                 to = self.base[state] + self.symbols(codes[at + step], digit)
                 on = self.check[to] == state
                 at, state = at[on], to[on]
@@ -194,12 +196,9 @@ class Trie:
     def build(phrases: list[np.ndarray]) -> Trie:
         """A trie over distinct phrases sorted by their words; number i is the i-th of them."""
         words = np.unique(np.concatenate(phrases))
-        digits = 1
-        while RADIX**digits < len(words):
-            digits += 1
         codes = [np.searchsorted(words, p) for p in phrases]
-        trie = Trie(words, digits, np.zeros(0, np.int32), np.zeros(0, np.int32))
-        symbols = [codes[0]] + [trie.symbols(c, d) for c in codes[1:] for d in range(digits)]
+        trie = Trie(words, np.zeros(0, np.int32), np.zeros(0, np.int32))
+        symbols = [codes[0]] + [trie.symbols(c, d) for c in codes[1:] for d in range(DIGITS)]
         # Nodes are the distinct prefixes; ``node[d]`` numbers those of d + 1 symbols in order.
         new = np.zeros(len(codes[0]), bool)
         new[:1] = True
@@ -213,11 +212,11 @@ class Trie:
         parent = np.concatenate([offset[d] + node[d][first[d + 1]] for d in range(len(symbols) - 1)])
         symbol = np.concatenate([symbols[d + 1][first[d + 1]] for d in range(len(symbols) - 1)])
         start = np.searchsorted(parent, np.arange(offset[-2] + 1))
-        base_of = _place(start, symbol, len(words))
+        base_of = _place(start, symbol, len(words), trie.radix)
         slot = np.empty(offset[-1], np.int64)
         slot[: sizes[0]] = symbols[0][first[0]]
         slot[sizes[0] :] = base_of[parent] + symbol
-        size = int(max(slot.max(), base_of.max())) + RADIX + 1
+        size = int(max(slot.max(), base_of.max())) + trie.radix + 1
         trie.base, trie.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         trie.base[slot[: offset[-2]]] = base_of
         trie.base[slot[offset[-2] :]] = np.arange(sizes[-1])
@@ -225,39 +224,46 @@ class Trie:
         return trie
 
 
-def _place(start: np.ndarray, symbol: np.ndarray, reserved: int) -> np.ndarray:
+def _place(start: np.ndarray, symbol: np.ndarray, reserved: int, radix: int) -> np.ndarray:
     """Bases for nodes whose children have the symbols symbol[start[i]:start[i + 1]], so that no two share a slot.
 
-    Slots below ``reserved`` are taken. Nodes with many children get stretches of their own; the others are thrown
-    at random bases, round by round, those with most children first, and the array doubles when few of them land.
+    Slots below ``reserved`` are taken. Nodes with many children get stretches of their own; the others are thrown at random
+    bases, round by round, those with most children first. When few of them land the array grows by an eighth; a
+    node with one child takes any free slot.
     """
     size = np.diff(start)
     base = np.zeros(len(size), np.int64)
-    dense = np.flatnonzero(size > RADIX // 8)
-    base[dense] = reserved + RADIX * np.arange(len(dense))
-    limit = reserved + RADIX * (len(dense) + 1) + 2 * int(size[size <= RADIX // 8].sum())
-    used = np.zeros(limit + RADIX, bool)
+    many = max(radix // 3, 2)
+    dense = np.flatnonzero(size > many)
+    base[dense] = reserved + radix * np.arange(len(dense))
+    limit = reserved + radix * (len(dense) + 1) + int(size[(size > 1) & (size <= many)].sum() * 5 // 4)
+    used = np.zeros(limit + radix, bool)
     used[:reserved] = True
     used[np.repeat(base[dense], size[dense]) + symbol[_runs(start[dense], size[dense])]] = True
     rng = np.random.default_rng(7)
-    for least, most in ((8, RADIX // 8), (4, 7), (2, 3), (1, 1)):
-        left = np.flatnonzero((size >= least) & (size <= most))
+    for k in range(many, 1, -1):
+        left = np.flatnonzero(size == k)
         while len(left):
             b = rng.integers(reserved, limit, len(left))
-            s = size[left]
-            to = np.repeat(b, s) + symbol[_runs(start[left], s)]
-            who = np.repeat(np.arange(len(left)), s)
-            order = np.argsort(to, kind="stable")
+            to = b[:, None] + symbol[start[left][:, None] + np.arange(k)]
             taken = used[to]
-            taken[order[1:]] |= to[order[1:]] == to[order[:-1]]
-            bad = np.zeros(len(left), bool)
-            bad[who[taken]] = True
+            flat = to.ravel()
+            order = np.argsort(flat, kind="stable")
+            again = np.zeros(len(flat), bool)
+            again[order[1:]] = flat[order[1:]] == flat[order[:-1]]
+            bad = (taken | again.reshape(taken.shape)).any(1)
             base[left[~bad]] = b[~bad]
-            used[to[~bad[who]]] = True
-            if bad.mean() > 0.8:
-                limit *= 2
-                used = np.concatenate([used, np.zeros(limit + RADIX - len(used), bool)])
+            used[to[~bad].ravel()] = True
+            if bad.mean() > 0.9:
+                limit += limit // 8
+                used = np.concatenate([used, np.zeros(limit + radix - len(used), bool)])
             left = left[bad]
+    single = np.flatnonzero(size == 1)
+    free = np.flatnonzero(~used)
+    free = free[free >= reserved + radix]
+    if len(free) < len(single):
+        free = np.concatenate([free, len(used) + np.arange(len(single) - len(free))])
+    base[single] = free[: len(single)] - symbol[start[single]]
     return base
 
 
@@ -282,14 +288,15 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame, k: int, most: int = TRIE)
     def build(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("number")
         t = Trie.build([table.column(c).to_numpy() for c in w])
-        return pa.table({"shard": [key[0].as_py()], "n": [table.num_rows], "digits": [t.digits], "words": [t.words.tobytes()], "base": [t.base.tobytes()], "check": [t.check.tobytes()]})
+        return pa.table({"shard": [key[0].as_py()], "n": [table.num_rows], "words": [t.words.tobytes()], "base": [t.base.tobytes()], "check": [t.check.tobytes()]})
 
-    tries = released(placed.groupBy("shard").applyInArrow(build, "shard long, n long, digits long, words binary, base binary, check binary"))
+    tries = released(placed.groupBy("shard").applyInArrow(build, "shard long, n long, words binary, base binary, check binary"))
     coded = _coded(docs)
     parts = []
-    for shard in [r["shard"] for r in tries.select("shard").collect()]:
-        row = tries.filter(F.col("shard") == shard).first()
-        trie = Trie(np.frombuffer(row["words"], np.int64), row["digits"], np.frombuffer(row["base"], np.int32), np.frombuffer(row["check"], np.int32))
+    # One trie at a time reaches the driver and is broadcast.
+    for row in tries.toLocalIterator():
+        shard = row["shard"]
+        trie = Trie(np.frombuffer(row["words"], np.int64), np.frombuffer(row["base"], np.int32), np.frombuffer(row["check"], np.int32))
         shared, n = spark.sparkContext.broadcast(trie), row["n"]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, n=n) -> Iterator[pa.RecordBatch]:

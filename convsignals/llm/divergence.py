@@ -135,46 +135,50 @@ def _parted(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _pair_task(key: tuple, table: pa.Table) -> pa.Table:
-    """Divergence sums of the pairs of two blocks of groups over the words of one chunk (or, chunk null, over count levels)."""
-    lang, left, right, chunk = (k.as_py() for k in key)
-    g, p, p0, bits, word, v = (table.column(c).to_numpy() for c in ("g", "p", "p0", "bits", "word", "v"))
-    block = g // SOURCES
-    acc = np.zeros((SOURCES, SOURCES), np.int64)
-    if chunk is None:
-        zero = np.zeros((2, SOURCES), np.int64)
-        for side, mine in ((0, left), (1, right)):
-            zero[side, g[block == mine] % SOURCES] = p0[block == mine]
-        base = _parted(zero[0][:, None], np.maximum(zero[1], 1)[None, :]) * int(v[0])
-        acc += base
-        # word holds the number of terms at this count; what both have is set right by the joint cells.
-        for k in np.flatnonzero(block == left):
-            row = _parted(p[k], np.maximum(zero[1], 1)) - _parted(p0[k], np.maximum(zero[1], 1))
-            acc[g[k] % SOURCES] += word[k] * row
-        for k in np.flatnonzero(block == right):
-            col = _parted(np.maximum(zero[0], 1), p[k]) - _parted(np.maximum(zero[0], 1), p0[k])
-            acc[:, g[k] % SOURCES] += word[k] * col
-        live = (zero[0] > 0)[:, None] & (zero[1] > 0)[None, :]
-        x, y = np.nonzero(live)
-    else:
-        order = np.argsort(word, kind="stable")
-        g, p, p0, bits, word, block = (a[order] for a in (g, p, p0, bits.view(np.uint64), word, block))
-        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
-        for a, z in zip(edge, edge[1:]):
-            i = a + np.flatnonzero(block[a:z] == left)
-            j = a + np.flatnonzero(block[a:z] == right)
-            joint = np.bitwise_count(bits[i][:, None] & bits[j][None, :])
-            at, to = np.nonzero(joint)
-            n, k, m = joint[at, to].astype(np.int64), i[at], j[to]
-            value = _parted(p[k], p[m]) - _parted(p[k], p0[m]) - _parted(p0[k], p[m]) + _parted(p0[k], p0[m])
-            np.add.at(acc, (g[k] % SOURCES, g[m] % SOURCES), n * value)
-        x, y = np.nonzero(acc)
-    one, two = left * SOURCES + x, right * SOURCES + y
-    use = one < two
-    return pa.table({"lang": pa.array([lang] * int(use.sum()), pa.string()), "g": one[use], "h": two[use], "value": acc[x, y][use]})
-
-
-def pair_divergence(bitmaps: DataFrame, groups: DataFrame) -> DataFrame:
+def _pair_task(size: int):
+    """Divergence sums of the pairs of two blocks of ``size`` groups over the words of one chunk (or, chunk null, over count levels)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lang, left, right, chunk = (k.as_py() for k in key)
+        g, p, p0, bits, word, v = (table.column(c).to_numpy() for c in ("g", "p", "p0", "bits", "word", "v"))
+        block = g // size
+        acc = np.zeros((size, size), np.int64)
+        if chunk is None:
+            zero = np.zeros((2, size), np.int64)
+            for side, mine in ((0, left), (1, right)):
+                zero[side, g[block == mine] % size] = p0[block == mine]
+            base = _parted(zero[0][:, None], np.maximum(zero[1], 1)[None, :]) * int(v[0])
+            acc += base
+            # word holds the number of terms at this count; what both have is set right by the joint cells.
+            for k in np.flatnonzero(block == left):
+                row = _parted(p[k], np.maximum(zero[1], 1)) - _parted(p0[k], np.maximum(zero[1], 1))
+                acc[g[k] % size] += word[k] * row
+            for k in np.flatnonzero(block == right):
+                col = _parted(np.maximum(zero[0], 1), p[k]) - _parted(np.maximum(zero[0], 1), p0[k])
+                acc[:, g[k] % size] += word[k] * col
+            live = (zero[0] > 0)[:, None] & (zero[1] > 0)[None, :]
+            x, y = np.nonzero(live)
+        else:
+            order = np.argsort(word, kind="stable")
+            g, p, p0, bits, word, block = (a[order] for a in (g, p, p0, bits.view(np.uint64), word, block))
+            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+            for a, z in zip(edge, edge[1:]):
+                i = a + np.flatnonzero(block[a:z] == left)
+                j = a + np.flatnonzero(block[a:z] == right)
+                joint = np.bitwise_count(bits[i][:, None] & bits[j][None, :])
+                at, to = np.nonzero(joint)
+                n, k, m = joint[at, to].astype(np.int64), i[at], j[to]
+                value = _parted(p[k], p[m]) - _parted(p[k], p0[m]) - _parted(p0[k], p[m]) + _parted(p0[k], p0[m])
+                np.add.at(acc, (g[k] % size, g[m] % size), n * value)
+            x, y = np.nonzero(acc)
+        one, two = left * size + x, right * size + y
+        use = one < two
+        return pa.table({"lang": pa.array([lang] * int(use.sum()), pa.string()), "g": one[use], "h": two[use], "value": acc[x, y][use]})
+
+    return run
+
+
+def pair_divergence(bitmaps: DataFrame, groups: DataFrame, sources: int = SOURCES) -> DataFrame:
     """(lang, g, h, value) for every pair g < h of groups of a language."""
     shared = groups.select("grp", "lang", "g", "total", "v", "p0")
     cells = bitmaps.join(shared, "grp").withColumn("p", _share("n", "total"))
@@ -183,16 +187,16 @@ def pair_divergence(bitmaps: DataFrame, groups: DataFrame) -> DataFrame:
     none = [F.lit(0).cast("long").alias("bits"), F.lit(None).cast("string").alias("chunk")]
     columns = ["lang", "g", "p", "p0", "v", "word", "bits", "chunk"]
     rows = cells.select(*columns).union(levels.union(lone).select("*", *none))
-    blocks = groups.groupBy("lang").agg(F.expr(f"max(g) div {SOURCES}").alias("last"))
-    rows = rows.join(blocks, "lang").withColumn("mine", F.expr(f"g div {SOURCES}"))
+    blocks = groups.groupBy("lang").agg(F.expr(f"max(g) div {sources}").alias("last"))
+    rows = rows.join(blocks, "lang").withColumn("mine", F.expr(f"g div {sources}"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     rows = rows.withColumns({"left": F.least("mine", "with"), "right": F.greatest("mine", "with")})
     rows = rows.select("lang", "left", "right", "chunk", "g", "p", "p0", "bits", "word", "v")
-    sums = rows.groupBy("lang", "left", "right", "chunk").applyInArrow(_pair_task, "lang string, g long, h long, value long")
+    sums = rows.groupBy("lang", "left", "right", "chunk").applyInArrow(_pair_task(sources), "lang string, g long, h long, value long")
     return sums.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
 
 
-def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, listed: int = LISTED) -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, listed: int = LISTED, sources: int = SOURCES) -> DataFrame:
     """Divergence of every two sources of a language, and the terms that mark each source against its language.
 
     Returns lang, source, part, item, value (long), rank (int). Part ``pair``: item is each other source of the language,
@@ -209,7 +213,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, listed: int
     groups = released(group_table(docs, kept))
     owner = groups.select("grp", "lang")
     terms = kept.groupBy("term").agg(F.min("grp").alias("grp"), F.first("total").alias("total")).join(owner, "grp").select("term", "lang", "total")
-    pairs = released(pair_divergence(released(count_bitmaps(kept, terms)), groups))
+    pairs = released(pair_divergence(released(count_bitmaps(kept, terms)), groups, sources))
     both = pairs.union(pairs.select("lang", F.col("h"), F.col("g"), "value"))
     name = groups.select("lang", "g", "source")
     other = groups.select("lang", F.col("g").alias("h"), F.col("source").alias("item"))
