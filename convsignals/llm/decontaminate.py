@@ -38,6 +38,8 @@ def template(text: Column) -> Column:
     """The text with placeholders, lower case, without punctuation; as many words as ``plain`` has."""
     t = F.regexp_replace(text, NUMBER, "$1<num>")
     t = F.regexp_replace(t, UNIT, "<num>$1<unit>$2")
+    # Nothing to replace without a digit or a placeholder.
+    t = F.when(text.rlike("[0-9]|<num>"), t).otherwise(text)
     t = F.regexp_replace(t, NAME, "$1<name>")
     t = F.regexp_replace(t, MORE_NAME, "$1<name>")
     return F.regexp_replace(F.lower(t), MARKS, "")
@@ -47,6 +49,46 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), MARKS, "")
 
 
+def spaced(text: Column) -> Column:
+    """``plain`` with blanks around letters of scripts that are written without them, all of which lie above U+0E00."""
+    return F.when(text.rlike("[\\x{E00}-\\x{10FFFF}]"), F.regexp_replace(plain(text), UNSPACED, " $1 ")).otherwise(plain(text))
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(text, BLANKS), ""), lambda w: F.xxhash64(w))
+
+
+def holders(docs: DataFrame, windows: DataFrame, widths: list[int], blocks: DataFrame, runs: list[int]) -> DataFrame:
+    """Rows of ``docs`` whose id has a text with some template window or verbatim block of an item.
+
+    The one pass over all texts: each is normalised once for both paths, and only (kind, hash) pairs leave the row. What the
+    windows hold, and what lies around the blocks, is worked out for these rows alone.
+    """
+    marks = windows.select(F.col("width").alias("kind"), "h").union(blocks.select((-F.col("run")).alias("kind"), "h")).distinct()
+    marks = stored(marks)
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select(F.col("doc_id").alias("id"), _words(template(text)).alias("t"), _words(spaced(text)).alias("p"))
+
+    def key(kind: int, h: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), h.alias("h"))
+
+    def window(width: int) -> Column:
+        places = F.sequence(F.lit(0), F.size("t") - width)
+        return F.when(F.size("t") >= width, F.transform(places, lambda i: key(width, F.xxhash64(*[F.get("t", i + k) for k in range(width)]))))
+
+    def block(r: int) -> Column:
+        b = (r + 1) // 2
+        places = F.sequence(F.lit(0), F.size("p") - b, F.lit(b))
+        return F.when(F.size("p") >= r, F.transform(places, lambda i: key(-r, F.xxhash64(F.slice("p", i + 1, b)))))
+
+    none = F.array().cast("array<struct<kind:int,h:bigint>>")
+    keys = F.concat(*[F.coalesce(window(w), none) for w in widths], *[F.coalesce(block(r), none) for r in runs])
+    found = d.select("id", F.explode(keys).alias("k")).select("id", "k.*")
+    found = found.join(F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks, ["kind", "h"], "left_semi")
+    ids = stored(found.select("id").distinct())
+    return stored(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
+
+
 def template_windows(texts: DataFrame, id_col: str, widths: list[int]) -> DataFrame:
     """(id, width, pos, h, slots) of the template windows of each text: the hash and the values behind its placeholders.
 
@@ -85,51 +127,55 @@ def template_windows(texts: DataFrame, id_col: str, widths: list[int]) -> DataFr
     return out
 
 
-def verbatim_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Texts that hold RUN consecutive words of an item, or all words of a shorter one, case and punctuation aside.
+def _run_words(rows: DataFrame, id_col: str) -> DataFrame:
+    t = spaced(F.coalesce("text", F.lit("")))
+    return rows.select(F.col(id_col).alias("id"), F.col("text").rlike(UNSPACED).alias("letters"), _words(t).alias("hs"))
 
-    The columns of ``leaks``; windows are runs. Letters of scripts without blanks are words; an item with such letters
-    needs RUN_LETTERS of them. Each run of r words of a text holds a block of (r + 1) // 2 words that starts at a
-    multiple of that width: only these blocks of the text meet the blocks of the items at all places, with the words
-    around them to tell how far the run goes.
-    """
 
-    def words(rows: DataFrame, id_col: str) -> DataFrame:
-        t = F.regexp_replace(plain(F.coalesce("text", F.lit(""))), UNSPACED, " $1 ")
-        d = rows.select(F.col(id_col).alias("id"), F.col("text").rlike(UNSPACED).alias("letters"), F.array_remove(F.split(t, BLANKS), "").alias("t"))
-        return d.select("id", "letters", F.transform("t", lambda w: F.xxhash64(w)).alias("hs"))
+def _run_blocks(r: int, every: bool) -> Column:
+    b = (r + 1) // 2
+    around = F.array_repeat(F.lit(None).cast("long"), r - b)
+    padded = F.concat(around, F.col("hs"), around)
 
-    def blocks(r: int, every: bool) -> Column:
-        b = (r + 1) // 2
-        around = F.array_repeat(F.lit(None).cast("long"), r - b)
-        padded = F.concat(around, F.col("hs"), around)
+    def one(i: Column) -> Column:
+        return F.struct(
+            F.lit(r).alias("run"), i.alias("pos"), F.xxhash64(F.slice("hs", i + 1, b)).alias("h"), F.slice(padded, i + 1, 2 * r - b).alias("near")
+        )
 
-        def one(i: Column) -> Column:
-            return F.struct(
-                F.lit(r).alias("run"), i.alias("pos"), F.xxhash64(F.slice("hs", i + 1, b)).alias("h"), F.slice(padded, i + 1, 2 * r - b).alias("near")
-            )
+    places = F.sequence(F.lit(0), F.size("hs") - b, F.lit(1 if every else b))
+    return F.when(F.size("hs") >= r, F.transform(places, one)).otherwise(F.array())
 
-        places = F.sequence(F.lit(0), F.size("hs") - b, F.lit(1 if every else b))
-        return F.when(F.size("hs") >= r, F.transform(places, one)).otherwise(F.array())
 
-    items = words(benchmark.filter("item_id is not null"), "item_id").filter(F.size("hs") > 0).distinct()
+def run_items(benchmark: DataFrame) -> tuple[list[int], DataFrame]:
+    """Lengths of the runs that are asked for, and the blocks of the items at all places (stored)."""
+    items = _run_words(benchmark.filter("item_id is not null"), "item_id").filter(F.size("hs") > 0).distinct()
     most = F.when(F.col("letters"), F.lit(RUN_LETTERS)).otherwise(F.lit(RUN))
     items = items.select("id", "hs", F.least(F.size("hs"), most).alias("run"), F.xxhash64("hs").alias("version"))
-    runs = sorted(r["run"] for r in items.select("run").distinct().collect())
-    if not runs:
-        runs = [RUN]
+    runs = sorted(r["run"] for r in items.select("run").distinct().collect()) or [RUN]
     sides = [
-        items.filter(F.col("run") == r).select("id", "version", (F.size("hs") - r + 1).alias("n_windows"), F.explode(blocks(r, True)).alias("w"))
+        items.filter(F.col("run") == r).select("id", "version", (F.size("hs") - r + 1).alias("n_windows"), F.explode(_run_blocks(r, True)).alias("w"))
         for r in runs
     ]
     side = sides[0]
     for more in sides[1:]:
         side = side.union(more)
-    side = stored(
+    return runs, stored(
         side.select(F.col("id").alias("item_id"), "version", "n_windows", F.col("w.run").alias("run"), F.col("w.pos").alias("item_pos"),
                     F.col("w.h").alias("h"), F.col("w.near").alias("item_near"))
     )
-    found = words(docs, "doc_id").select("id", F.explode(F.concat(*[blocks(r, False) for r in runs])).alias("w")).select("id", "w.*")
+
+
+def verbatim_leaks(docs: DataFrame, benchmark: DataFrame, items: tuple[list[int], DataFrame] | None = None) -> DataFrame:
+    """Texts that hold RUN consecutive words of an item, or all words of a shorter one, case and punctuation aside.
+
+    The columns of ``leaks``; windows are runs. Letters of scripts without blanks are words; an item with such letters
+    needs RUN_LETTERS of them. Each run of r words of a text holds a block of (r + 1) // 2 words that starts at a
+    multiple of that width: only these blocks of the text meet the blocks of the items at all places, with the words
+    around them to tell how far the run goes.
+    """
+
+    runs, side = items or run_items(benchmark)
+    found = _run_words(docs, "doc_id").select("id", F.explode(F.concat(*[_run_blocks(r, False) for r in runs])).alias("w")).select("id", "w.*")
     found = found.join(F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side, ["run", "h"])
     width = F.expr("int((run + 1) div 2)")
     same = F.zip_with("near", "item_near", lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -155,24 +201,18 @@ def verbatim_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """Texts that hold a benchmark item: the rows of ``template_leaks``, and those of ``verbatim_leaks`` for other pairs."""
-    both = template_leaks(docs, benchmark, width, share).withColumn("path", F.lit(0))
-    both = both.union(verbatim_leaks(docs, benchmark).withColumn("path", F.lit(1)))
+    widths, windows = template_items(benchmark, width)
+    runs, blocks = run_items(benchmark)
+    some = holders(docs.select("doc_id", "text"), windows, widths, blocks, runs)
+    both = template_leaks(some, benchmark, width, share, (widths, windows)).withColumn("path", F.lit(0))
+    both = both.union(verbatim_leaks(some, benchmark, (runs, blocks)).withColumn("path", F.lit(1)))
     values = ["n_matched", "n_windows", "n_changed", "verbatim"]
     first = both.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*values), "path").alias("row"))
     return first.select("doc_id", "item_id", *[f"row.{c}" for c in values])
 
 
-def template_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """Texts that hold a benchmark item, verbatim or with other parameters.
-
-    One row per (doc_id, item_id): n_matched and n_windows (long; windows of the item found, and all), n_changed (long: item
-    values that the text replaces) and verbatim (n_changed is 0). A pair counts if at least ``share`` percent of the windows
-    match in places whose slots are consistent: within one alignment each value of the item stands for one value of the
-    text. Items of LEAST_FIXED to ``width`` - 1 words are one window of their own length; items with fewer words, null or
-    empty items and windows of placeholders match nothing. Null and empty texts match nothing. Repeated rows and equal ids
-    are reported once; a null doc_id is reported as null. Empty tables give an empty result. Only doc_id, text and
-    item_id are read.
-    """
+def template_items(benchmark: DataFrame, width: int = WIDTH) -> tuple[list[int], DataFrame]:
+    """Widths of the windows that are asked for, and the windows of the items (stored)."""
     lengths = benchmark.select(F.size(F.array_remove(F.split(template(F.coalesce("text", F.lit(""))), BLANKS), "")).alias("n"))
     short = sorted(r["n"] for r in lengths.filter((F.col("n") >= LEAST_FIXED) & (F.col("n") < width)).distinct().collect())
     items = template_windows(benchmark, "item_id", [*short, width])
@@ -182,11 +222,27 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sh
         ).filter((F.col("width") == width) | (F.col("long").isNull() & (F.col("pos") == 0)))
         full = benchmark.select(F.col("item_id").alias("id"), F.size(F.array_remove(F.split(template(F.coalesce("text", F.lit(""))), BLANKS), "")).alias("n")).distinct()
         items = items.join(full, "id").filter((F.col("width") == width) | (F.col("width") == F.col("n"))).drop("n", "long")
-    items = stored(
+    return [*short, width], stored(
         items.select(F.col("id").alias("item_id"), "width", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")).distinct()
     )
+
+
+def template_leaks(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, items: tuple[list[int], DataFrame] | None = None
+) -> DataFrame:
+    """Texts that hold a benchmark item, verbatim or with other parameters.
+
+    One row per (doc_id, item_id): n_matched and n_windows (long; windows of the item found, and all), n_changed (long: item
+    values that the text replaces) and verbatim (n_changed is 0). A pair counts if at least ``share`` percent of the windows
+    match in places whose slots are consistent: within one alignment each value of the item stands for one value of the
+    text. Items of LEAST_FIXED to ``width`` - 1 words are one window of their own length; items with fewer words, null or
+    empty items and windows of placeholders match nothing. Null and empty texts match nothing. Repeated rows and equal ids
+    are reported once; a null doc_id is reported as null. Empty tables give an empty result. Only doc_id, text and
+    item_id are read.
+    """
+    widths, items = items or template_items(benchmark, width)
     totals = items.groupBy("item_id").agg(F.countDistinct("width", "item_pos").alias("n_windows"))
-    found = template_windows(docs, "doc_id", [*short, width])
+    found = template_windows(docs, "doc_id", widths)
     side = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
     found = found.join(side, ["width", "h"]).withColumn("at", F.col("pos") - F.col("item_pos"))
     pairs = F.transform(
