@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convsignals.llm.tables import released
+from convsignals.llm.tables import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of the edges (a, b), both long: the smallest node that is reachable.
 
     Loops and repeated edges do no harm; rows with a null end are no edges; no edges give an empty result. Only the
-    smallest neighbour of a node is aggregated, never its list of neighbours, and each round is a written table.
+    smallest neighbour of a node is aggregated, never its list of neighbours, and each round is a written table that
+    replaces the one before; the last one belongs to ``scratch``, if given.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     e = edges.filter("a is not null and b is not null and a <> b")
-    e = released(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = scratch.store(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(e)
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        before = e
         e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         star = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = released(star.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        e = scratch.store(star.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        scratch.drop(before)
         new = _mark(e)
         if new == mark:
             break

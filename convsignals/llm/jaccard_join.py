@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from convsignals.llm.components import connected_components
 from convsignals.llm.hashing import Words, mix, text_chunks, window_hashes
-from convsignals.llm.tables import released
+from convsignals.llm.tables import Scratch, released
 from convsignals.operators.blocks import lookup_join
 
 PARTS = 64
@@ -384,28 +384,35 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     An empty table gives an empty result. Only doc_id and text are read. Every link between different texts counts;
     ``block`` bounds the documents that one task joins, not what is joined.
     """
-    docs = docs.select("doc_id", "text")
+    with Scratch(docs.sparkSession) as scratch:
+        return released(_join(docs.select("doc_id", "text"), width, percent, block, scratch))
+
+
+def _join(docs: DataFrame, width: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
     nameless = docs.filter("doc_id is null")
     docs = docs.filter("doc_id is not null")
-    scan = released(describe(docs, width))
+    scan = scratch.store(describe(docs, width))
     slim = scan.filter("n >= 0")
     often = scan.filter("n < 0").groupBy("a").count().orderBy(F.desc("count"), "a").limit(FREQUENT).select("a").collect()
     frequent = np.array(sorted(r["a"] for r in often), np.int64).view(np.uint64)
     frequent.sort()
+    # No document has more first shingles than this, so their number need not be counted by a pass of its own.
+    total = slim.agg(F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // 1_000_000))
     keyed = slim.filter("n > 0").withColumn("set", F.concat_ws(":", "n", "a", "b"))
-    classes = keyed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = scratch.store(keyed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # The sets with most copies meet their documents by broadcast, a fixed number of them; no other can be hot.
-    joined = lookup_join(keyed, released(classes.select("set", "rep", "copies")), "set", "copies", how="inner", row_id="doc_id")
-    member = released(joined.select("doc_id", "rep", "n", "vec"))
+    joined = lookup_join(keyed, classes, "set", "copies", how="inner", row_id="doc_id")
+    member = scratch.store(joined.select("doc_id", "rep", "n", "vec"))
+    sized = scratch.store(slim.select("doc_id", F.col("n").alias("n_shingles")))
+    scratch.drop(scan, classes)
 
-    first = released(_first_shingles(docs, width, percent, frequent))
-    total = first.count()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
-    met = released(first.repartition(parts, "hash").mapInArrow(_meet, "x long, y long, open boolean, group long"))
+    first = _first_shingles(docs, width, percent, frequent)
+    met = scratch.store(first.repartition(parts, "hash").mapInArrow(_meet, "x long, y long, open boolean, group long"))
     pairs = met.filter("group is null").groupBy("x", "y").agg(F.min("open").alias("open"))
     holders = met.filter("group is not null").select("group", F.col("x").alias("doc_id"))
     holders = holders.join(member, "doc_id").select("group", "rep", "n", "vec").repartition(parts, "group")
-    gathered = holders.mapInArrow(_part_groups(percent), "a long, b long").filter("a <> b")
+    gathered = scratch.store(holders.mapInArrow(_part_groups(percent), "a long, b long").filter("a <> b").distinct())
     left = member.select(F.col("doc_id").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     right = member.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
     both = pairs.join(left, "x").join(right, "y").filter("a <> b")
@@ -413,47 +420,61 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int
     may_link = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (
         apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     )
-    regions = released(connected_components(both.filter(~F.col("open") | may_link).select("a", "b").union(gathered)))
+    near = scratch.store(both.filter(~F.col("open") | may_link).select("a", "b").distinct())
+    scratch.drop(met)
+    regions = connected_components(near.union(gathered), scratch)
     weights = regions.join(member.filter("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
     whole = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES))
     sizes = weights.groupBy("component").agg(whole.alias("blocks"))
     labels = regions.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("region"), "blocks")
-    sets = released(_shipped(docs, labels, width))
+    labels = scratch.store(labels)
+    copies = scratch.store(member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    scratch.drop(near, gathered, member)
+    # Sets of regions with one block are read once and go straight to the region's task; only those of the others are stored.
+    sets = _shipped(docs, labels.filter("blocks = 1"), width)
+    wide = None
+    if labels.filter("blocks > 1").take(1):
+        wide = scratch.store(_shipped(docs, labels.filter("blocks > 1"), width))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    cut = sets.withColumn("key", F.struct("region", mine.alias("block"))).withColumn("key", F.to_json("key")).withColumn("visitor", F.lit(False))
-    links = released(_joined(cut, percent, False)).filter("a <> b")
-    if sets.filter("blocks > 1").take(1):
-        links = links.union(_across(sets, links, percent))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"key": F.to_json(F.struct("region", mine.alias("block"))), "visitor": F.lit(False)})
+
+    links = scratch.store(_joined(cut(sets), percent, False).filter("a <> b"))
+    if wide is not None:
+        inside = scratch.store(_joined(cut(wide), percent, False).filter("a <> b"))
+        across = scratch.store(_across(wide, inside, percent, scratch))
+        links = links.union(across)
+        scratch.drop(wide, inside)
     # Copies of a text are linked to their class already.
-    copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = connected_components(links.select("a", "b").union(copies))
-    out = slim.select("doc_id", F.col("n").alias("n_shingles")).join(
-        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    )
+    found = connected_components(links.select("a", "b").union(copies), scratch)
+    out = sized.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     blank = describe(nameless.select(F.lit(0).cast("long").alias("doc_id"), "text"), width).filter("n >= 0")
     return out.union(blank.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
-def _across(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch | None = None) -> DataFrame:
     """Links between the blocks of regions that have several.
 
     First one member of each component of a block meets those of the other blocks; what then lies outside the largest
     component of its region visits every block.
     """
     wide = sets.filter("blocks > 1")
+    scratch = scratch or Scratch(sets.sparkSession)
 
     def labelled(more: DataFrame) -> DataFrame:
-        comp = connected_components(more.select("a", "b"))
+        comp = connected_components(more.select("a", "b"), scratch)
         named = wide.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return named.withColumn("component", F.coalesce("component", "doc_id"))
+        return scratch.store(named.withColumn("component", F.coalesce("component", "doc_id")))
 
-    now = released(labelled(links))
+    now = labelled(links)
     heads = now.filter("doc_id = component")
     key = F.concat(F.lit("h"), F.col("region").cast("string"))
     heads = heads.withColumn("key", key).withColumn("visitor", F.lit(False))
-    links = released(links.union(_joined(heads, percent, False).filter("a <> b")))
-    now = released(labelled(links))
+    links = scratch.store(links.union(_joined(heads, percent, False).filter("a <> b")))
+    scratch.drop(now)
+    now = labelled(links)
     counts = now.groupBy("region", "component").count()
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
     now = now.join(largest, "region").withColumn("visitor", F.col("component") != F.col("largest"))

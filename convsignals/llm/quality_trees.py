@@ -11,15 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from convsignals.llm.quality_rules import fold
 from convsignals.llm.statistics import BASE, SHARES, text_statistics
 from convsignals.session import stored
 
-#: Bound on the labelled rows that a fit reads: the first in the order of a hash of the id.
+#: Bound on the labelled rows that a fit reads: whole hash buckets of ids, in their order.
 SAMPLE_ROWS = 50_000
+BUCKETS = 4096
 CUT = 0.3
 
 
@@ -105,19 +108,33 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     smoothed mean of the labels there are (0.5 for none).
     """
     stats = stored(text_statistics(docs))
-    return score_statistics(stats, fit_statistics(stats, labels, sample_rows), cut)
-
-
-def fit_statistics(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    sample = (
-        stats.filter(fold(F.col("doc_id"), 5) > 0)
-        .join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(sample_rows)
-        .select(*SHARES, "quality")
-        .toPandas()
-    )
+    rows = stats.join(F.broadcast(labelled_sample(stats, labels, sample_rows)), "doc_id")
+    return score_statistics(stats, fit_statistics(rows), cut)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, quality) of the labelled rows to learn from; with all their documents they are at most ``sample_rows`` rows.
+
+    Ids fall into BUCKETS by a hash. Buckets are taken in order, and one that would exceed the bound (an id that very
+    many rows share) is passed over. Only the sizes of the buckets and the sample itself reach the driver.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality").distinct()
+    marks = marks.filter(fold(F.col("doc_id"), 5) > 0)
+    copies = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    found = stored(marks.join(copies, "doc_id").withColumn("bucket", bucket))
+    sizes = found.groupBy("bucket").agg(F.sum("copies").alias("n")).orderBy("bucket").collect()
+    taken, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= sample_rows:
+            taken.append(r["bucket"])
+            total += r["n"]
+    return found.filter(F.col("bucket").isin(taken)).select("doc_id", "quality")
+
+
+def fit_statistics(rows: DataFrame) -> Forest:
+    """Trees from the labelled rows (SHARES and ``quality``), whatever their order."""
+    sample = rows.select(*SHARES, "quality").toPandas().sort_values([*SHARES, "quality"])
     return fit_forest(sample[SHARES].to_numpy(float).reshape(-1, len(SHARES)), sample["quality"].to_numpy(float))
 
 
@@ -138,13 +155,16 @@ def score_statistics(stats: DataFrame, forest: Forest, cut: float = CUT) -> Data
 
 def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, all their columns, whose text scores ``cut`` or more; each row is judged by itself."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    # Stored with their rows: the statistics are computed once, and the filter is not unfolded into them.
-    stats = stored(text_statistics(rows, carry="row"))
-    forest = fit_statistics(stats.drop("row"), labels, sample_rows)
+    sample = labelled_sample(docs, labels, sample_rows)
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    forest = fit_statistics(text_statistics(known, carry="quality"))
 
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(forest.scores(np.stack([c.to_numpy(float) for c in columns], 1)))
+    # A pass of its own: as a filter it would be unfolded into the statistics.
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in SHARES], 1)
+            yield b.select(["row"]).filter(pa.array(forest.scores(x) >= cut))
 
-    return stats.filter(score(*SHARES) >= cut).select("row.*")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    scored = text_statistics(rows, carry="row").select("row", *SHARES)
+    return scored.mapInArrow(keep, StructType([StructField("row", docs.schema)])).select("row.*")

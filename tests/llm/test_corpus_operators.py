@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from convsignals.llm import components, decontaminate, hashing, jaccard_join, mixing, sharding, warc
+from convsignals.llm import components, decontaminate, hashing, jaccard_join, mixing, sharding, tables, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -210,6 +211,70 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_all_strata(spark):
+    rows = [(i, "word " * (1 + i % 17), f"s{i % 600}", ["en", "de", None][i // 600 % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"s599": 0.2, "s3": 0.1}}
+    few = {r.doc_id: r for r in mixing.mix(docs, targets).collect()}
+    many = {r.doc_id: r for r in mixing.mix(docs, targets, driver_cells=0).collect()}
+    assert len({r.source for r in few.values()}) == 600
+    for i, r in few.items():
+        assert many[i].weight == pytest.approx(r.weight) and many[i].probability == pytest.approx(r.probability)
+    total = sum(r.n_tokens for r in many.values())
+    raked = sum(r.n_tokens * r.weight for r in many.values() if r.source == "s599")
+    assert raked == pytest.approx(0.2 * total, rel=0.01)
+    full = mixing.mix(docs, budget=1.0, driver_cells=0).collect()
+    assert all(r.probability == 1 for r in full)
+    assert mixing.mix(docs.limit(0), driver_cells=0).count() == 0
+
+
+def test_scratch_deletes_its_tables(spark):
+    with tables.Scratch(spark) as scratch:
+        one, two = scratch.store(spark.range(3)), scratch.store(spark.range(4))
+        places = [p.removeprefix("file:") for _, p in scratch.tables]
+        scratch.drop(one)
+        assert [os.path.exists(p) for p in places] == [False, True] and two.count() == 4
+    assert not any(map(os.path.exists, places))
+
+
+def test_pipeline_stages_decide_by_row(spark, sf, tmp_path):
+    item = "If John has 5 apples and Mary gives him 7 more apples, how many apples does John have in total now?"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = [f"w{k}" for k in range(60)]
+    near, other = " ".join(words), " ".join(words[:-1] + ["end"])
+    rows = [
+        (None, f"see: {item}", "en", "a"),
+        (None, "clean words of a row without an id", "en", "a"),
+        (7, f"again: {item}", "en", "b"),
+        (7, "another clean row under the same id as a leak", "en", "b"),
+        (8, near, "en", "b"),
+        (9, other, "en", "b"),
+        (9, "a third text under the id of a near copy", "de", "b"),
+        (None, near, "de", "c"),
+        (10, "", "en", "c"),
+        (10, "", "en", "c"),
+        (11, "twice the same row and text", "en", "c"),
+        (11, "twice the same row and text", "en", "c"),
+        (12, "long " * 30000, "en", "c"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns(
+        {"row": F.lit("x"), "kept": F.lit(1), "component_id": F.lit(2)}
+    )
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    all_rows = texts(docs)
+    out = stages["jaccard_representatives"](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert texts(out) == all_rows - collections.Counter({(9, other): 1, (None, near): 1, (11, "twice the same row and text"): 1, (None, f"see: {item}"): 1})
+    out = stages["template_decontamination"](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and texts(out) == all_rows - collections.Counter({(None, f"see: {item}"): 1, (7, f"again: {item}"): 1})
+    out = stages["target_mixing"](spark, docs, str(tmp_path))
+    kept = [r.kept for r in mixing.mix(docs).collect()]
+    assert out.columns == docs.columns and out.count() == sum(kept)
+    for name in ("jaccard_representatives", "template_decontamination", "target_mixing"):
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_decontamination(spark):
     item = "If John has 5 apples and Mary gives him 7 more apples, how many apples does John have in total now?"
     bench = spark.createDataFrame([(0, item), (1, "the capital city of France"), (2, None), (3, "two words")], "item_id long, text string")
