@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from convsignals.llm.components import connected_components
 from convsignals.llm.hashing import Words, mix, text_chunks, window_hashes
@@ -336,8 +337,9 @@ def _region_task(percent: int, visiting: bool):
 
 
 def _shipped(docs: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """Sets of the documents that a region holds: (doc_id, region, blocks, body); sorted hashes as bytes."""
-    rows = docs.join(labels, "doc_id").select("doc_id", "text", "region", "blocks")
+    """Sets of the documents of ``labels`` (doc_id and other columns): those columns and body, sorted hashes as bytes."""
+    carry = [c for c in labels.columns if c != "doc_id"]
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,11 +348,10 @@ def _shipped(docs: DataFrame, labels: DataFrame, width: int) -> DataFrame:
                 edge = np.searchsorted(own, np.arange(hi - lo + 1))
                 signed = h.view(np.int64)
                 body = [np.sort(signed[x:y]).tobytes() for x, y in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": b.column(0)[lo:hi], "region": b.column(2)[lo:hi], "blocks": b.column(3)[lo:hi], "body": pa.array(body, pa.binary())}
-                )
+                more = {c: b.column(k + 2)[lo:hi] for k, c in enumerate(carry)}
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)[lo:hi], **more, "body": pa.array(body, pa.binary())})
 
-    return rows.mapInArrow(run, "doc_id long, region long, blocks long, body binary")
+    return rows.mapInArrow(run, StructType([*rows.drop("text").schema, StructField("body", BinaryType())]))
 
 
 def _joined(rows: DataFrame, percent: int, visiting: bool) -> DataFrame:
@@ -430,22 +431,13 @@ def _join(docs: DataFrame, width: int, percent: int, block: int, scratch: Scratc
     labels = scratch.store(labels)
     copies = scratch.store(member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     scratch.drop(near, gathered, member)
-    # Sets of regions with one block are read once and go straight to the region's task; only those of the others are stored.
-    sets = _shipped(docs, labels.filter("blocks = 1"), width)
-    wide = None
-    if labels.filter("blocks > 1").take(1):
-        wide = scratch.store(_shipped(docs, labels.filter("blocks > 1"), width))
+    # Sets go straight to the task of their block. They are larger than the texts, so they are made anew where blocks of one
+    # region meet, and never stored.
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-
-    def cut(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"key": F.to_json(F.struct("region", mine.alias("block"))), "visitor": F.lit(False)})
-
-    links = scratch.store(_joined(cut(sets), percent, False).filter("a <> b"))
-    if wide is not None:
-        inside = scratch.store(_joined(cut(wide), percent, False).filter("a <> b"))
-        across = scratch.store(_across(wide, inside, percent, scratch))
-        links = links.union(across)
-        scratch.drop(wide, inside)
+    cut = _shipped(docs, labels, width).withColumns({"key": F.to_json(F.struct("region", mine.alias("block"))), "visitor": F.lit(False)})
+    links = scratch.store(_joined(cut, percent, False).filter("a <> b"))
+    if labels.filter("blocks > 1").take(1):
+        links = scratch.store(_across(labels, links, percent, scratch, lambda rows: _shipped(docs, rows, width)))
     # Copies of a text are linked to their class already.
     found = connected_components(links.select("a", "b").union(copies), scratch)
     out = sized.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
@@ -454,14 +446,16 @@ def _join(docs: DataFrame, width: int, percent: int, block: int, scratch: Scratc
     return out.union(blank.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
-def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch | None = None) -> DataFrame:
-    """Links between the blocks of regions that have several.
+def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch | None = None, ship=None) -> DataFrame:
+    """Links between the blocks of regions that have several; the links given are part of the result.
 
     First one member of each component of a block meets those of the other blocks; what then lies outside the largest
-    component of its region visits every block.
+    component of its region visits every block. ``sets`` has doc_id, region, blocks; ``ship`` adds the body to such
+    rows, by default from ``sets``.
     """
-    wide = sets.filter("blocks > 1")
+    wide = sets.filter("blocks > 1").select("doc_id", "region", "blocks")
     scratch = scratch or Scratch(sets.sparkSession)
+    ship = ship or (lambda rows: rows.join(sets.select("doc_id", "region", "body"), ["doc_id", "region"]))
 
     def labelled(more: DataFrame) -> DataFrame:
         comp = connected_components(more.select("a", "b"), scratch)
@@ -469,17 +463,17 @@ def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch |
         return scratch.store(named.withColumn("component", F.coalesce("component", "doc_id")))
 
     now = labelled(links)
-    heads = now.filter("doc_id = component")
     key = F.concat(F.lit("h"), F.col("region").cast("string"))
-    heads = heads.withColumn("key", key).withColumn("visitor", F.lit(False))
+    heads = ship(now.filter("doc_id = component")).withColumns({"key": key, "visitor": F.lit(False)})
     links = scratch.store(links.union(_joined(heads, percent, False).filter("a <> b")))
     scratch.drop(now)
     now = labelled(links)
     counts = now.groupBy("region", "component").count()
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
     now = now.join(largest, "region").withColumn("visitor", F.col("component") != F.col("largest"))
+    now = ship(scratch.store(now.select("doc_id", "region", "blocks", "visitor")))
     home = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    at_home = now.withColumn("at", home)
-    guests = now.filter("visitor").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter(F.col("at") != home)
-    rows = at_home.unionByName(guests).withColumn("key", F.to_json(F.struct("region", "at")))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = now.withColumn("at", F.explode(F.when(F.col("visitor"), everywhere).otherwise(F.array(home))))
+    rows = rows.withColumn("key", F.to_json(F.struct("region", "at")))
     return links.union(_joined(rows, percent, True).filter("a <> b"))
