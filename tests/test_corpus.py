@@ -336,6 +336,43 @@ def test_fuzzy_join_finds_every_pair_of_the_rule(spark, threshold):
     assert {(r["a"], r["b"]): round(r["score"], 6) for r in both.collect()} == expected(old)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_parts_of_a_fuzzy_cell_lose_no_pair(spark, monkeypatch, same):
+    monkeypatch.setattr(dp, "CELL_BYTES", 1500)
+    rng = random.Random(5)
+    bases = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(14)) for _ in range(12)]
+    texts = sorted({mutated(rng, b, k) for b in bases for k in range(4)})
+    # Nothing but the last letters tells these apart; all pairs of them share nearly every piece.
+    texts += ["a" * 100 + " " + "".join(rng.choices("bcdefgh", k=20)) for _ in range(10)]
+    frame = spark.createDataFrame([(t, t) for t in texts], "key string, norm string")
+    got = dp.fuzzy_scores(frame, frame, "key", "key", 88.0, same=same).collect()
+
+    def related(a, b):
+        return abs(len(a) // 10 - len(b) // 10) <= 1 or a[:8] == b[:8]
+
+    expected = {(a, b) for a in texts for b in texts if a != b and related(a, b) and fz.token_sort_score(a, b) >= 88}
+    assert {(r["a"], r["b"]) for r in got} == expected and len(got) == len(expected) > 30
+
+
+def test_fuzzy_join_moves_texts_not_pairs(spark):
+    """A join on pieces of a few letters made a row per shared piece of each pair; now a text goes to three cells at most."""
+    texts = ["the same words in every text but the end " * 5 + str(k) for k in range(40)]
+    frame = spark.createDataFrame([(t, t) for t in texts], "key string, norm string")
+    plan = dp.fuzzy_scores(frame, frame, "key", "key", same=True)._jdf.queryExecution().executedPlan().toString()
+    assert "piece" not in plan and plan.count("FlatMapGroupsInPandas") == 1
+    dealt = dp._dealt(dp._prepared(frame, "key").withColumn("side", F.lit("s")), True)
+    assert dealt.select(F.max(F.size("at"))).first()[0] <= 3
+
+
+def test_a_subsequence_is_given_up_only_below_the_threshold():
+    rng = random.Random(11)
+    for _ in range(300):
+        a = "".join(rng.choices("abcd ", k=rng.randint(0, 260)))
+        b = mutated(rng, a, rng.randint(0, 60)) if rng.random() < 0.7 else "".join(rng.choices("abcd ", k=rng.randint(0, 260)))
+        score = fz.indel_ratio(a, b)
+        assert fz.ratio_from(a, fz.char_places(a), b, 88.0) in ((score,) if score >= 88 else (score, -1.0))
+
+
 def test_low_thresholds_are_refused(spark):
     frame = spark.createDataFrame([("a", "a")], "key string, norm string")
     with pytest.raises(S.DataError):
