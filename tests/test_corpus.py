@@ -439,6 +439,25 @@ def test_most_similar_against_brute_force(spark, threshold):
     assert got[500] == (7, 100.0) and got[7] == (500, 100.0)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_and_matrices_lose_no_similar_pair(spark, monkeypatch, same):
+    monkeypatch.setattr(sm, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(sm, "CHUNK_DOCS", 3)
+    rng = np.random.default_rng(2)
+    weights = np.abs(rng.normal(size=(40, 6)))
+    weights /= np.linalg.norm(weights, axis=1, keepdims=True)
+    rows = [(d, f"t{t}", float(weights[d, t])) for d in range(40) for t in range(6)]
+    frame = spark.createDataFrame(rows, "id long, term string, weight double").withColumn("df", F.lit(1))
+    left, right = (frame, frame) if same else (frame.where("id < 25"), frame.where("id >= 25"))
+    pairs = sm.similar_pairs(left, right, "id", 0.8, same=same)
+    # Every term is common here; a join on terms would have listed each pair up to six times.
+    assert "SortMergeJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    cosines = weights @ weights.T
+    expected = {(a, b) for a in range(40) for b in range(40) if a != b and cosines[a, b] >= 0.8 and (same or (a < 25 <= b))}
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert set(got) == expected and len(got) == len(expected) > 20
+
+
 def test_tfidf_weights_by_hand(spark):
     docs = spark.createDataFrame([(1, "red red blue"), (2, "red green")], "id int, text string")
     got = {(r["id"], r["term"]): r["weight"] for r in tf.document_weights(docs, "id", tf.word_terms(F.col("text"), 1, 1), max_df=1.0).collect()}
