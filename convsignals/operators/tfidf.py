@@ -13,9 +13,10 @@ def word_terms(text: Column, low: int = 1, high: int = 2) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """``(key, term, tf)``; counting combines before the shuffle."""
+    """``(key, term, tf)``. The texts are dealt by key, so that neither their terms nor the weights by key are shuffled."""
     return (
-        docs.select(key, F.explode(terms).alias("term"))
+        docs.repartition(F.col(key))
+        .select(key, F.explode(terms).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

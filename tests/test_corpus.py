@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -458,6 +459,13 @@ def test_blocks_and_matrices_lose_no_similar_pair(spark, monkeypatch, same):
     assert set(got) == expected and len(got) == len(expected) > 20
 
 
+def test_term_counts_move_texts_not_terms(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "red green"), (1, "blue")], "id int, text string")
+    counts = tf.term_counts(docs, "id", tf.word_terms(F.col("text"), 1, 1))
+    assert {(r["id"], r["term"], r["tf"]) for r in counts.collect()} == {(1, "red", 2), (1, "blue", 2), (2, "red", 1), (2, "green", 1)}
+    assert "term" not in re.search(r"hashpartitioning\((.*?)\)", counts._jdf.queryExecution().executedPlan().toString())[1]
+
+
 def test_tfidf_weights_by_hand(spark):
     docs = spark.createDataFrame([(1, "red red blue"), (2, "red green")], "id int, text string")
     got = {(r["id"], r["term"]): r["weight"] for r in tf.document_weights(docs, "id", tf.word_terms(F.col("text"), 1, 1), max_df=1.0).collect()}
