@@ -35,6 +35,8 @@ FREQUENT = 50_000
 SMALL_GROUP = 16
 #: Larger holder groups than this become one region without a look at their bounds.
 LARGE_GROUP = 20_000
+#: Rows that a task gives out at once.
+MEET_ROWS = 50_000
 #: Documents, and shingles of them all, of a region that one task joins.
 BLOCK, BLOCK_SHINGLES = 2000, 1_500_000
 
@@ -92,13 +94,14 @@ def _counts(owner: np.ndarray, h: np.ndarray, n: int, fine: bool) -> list[np.nda
     return out
 
 
-def _may_link(vecs: list[np.ndarray], n: np.ndarray, p: int, percent: int) -> np.ndarray:
-    """Members that the bounds allow to link with member ``p``.
+def _may_link(vecs: list[np.ndarray], n: np.ndarray, p: int, percent: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Members, of those ``among`` that are asked about, that the bounds allow to link with member ``p``.
 
     A link's symmetric difference is at most (1 - s) / (1 + s) of the sum of both sizes, and at least the distance
     of the count vectors.
     """
-    some = np.flatnonzero(np.minimum(n, n[p]) * 100 >= percent * np.maximum(n, n[p]))
+    fit = np.minimum(n, n[p]) * 100 >= percent * np.maximum(n, n[p])
+    some = np.flatnonzero(fit if among is None else fit & among)
     for vec in vecs:
         apart = np.abs(vec[some] - vec[p]).sum(1)
         some = some[apart * (100 + percent) <= (100 - percent) * (n[some] + n[p])]
@@ -197,27 +200,34 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, doc = h[new], doc[new]
     edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
     start, count = edge[:-1], np.diff(edge)
-    pairs, groups, stars = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    docs, place = np.unique(doc, return_inverse=True)
+    # A pair of small groups is one number: the places of its two documents.
+    pairs, groups, stars = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
     for size in range(2, SMALL_GROUP + 1):
         at = start[count == size]
         for i in range(size):
             for j in range(i + 1, size):
-                pairs.append(np.stack([doc[at + i], doc[at + j]], 1))
+                pairs.append(np.unique(place[at + i] * len(docs) + place[at + j]))
     for a, c in zip(start[count > SMALL_GROUP], count[count > SMALL_GROUP]):
         if c > LARGE_GROUP:
             stars.append(np.stack([np.full(c - 1, doc[a]), doc[a + 1 : a + c]], 1))
         else:
             groups.append(np.stack([np.full(c, h[a]), doc[a : a + c]], 1))
-    p, g, z = np.unique(np.concatenate(pairs), axis=0), np.concatenate(groups), np.unique(np.concatenate(stars), axis=0)
-    none = np.zeros(len(p) + len(z), np.int64)
-    yield pa.RecordBatch.from_pydict(
-        {
-            "x": pa.array(np.concatenate([p[:, 0], z[:, 0], g[:, 1]])),
-            "y": pa.array(np.concatenate([p[:, 1], z[:, 1], g[:, 1]])),
-            "open": pa.array(np.arange(len(none) + len(g)) < len(p)),
-            "group": pa.array(np.concatenate([none, g[:, 0]]), mask=np.arange(len(none) + len(g)) < len(none)),
-        }
-    )
+    def rows(x, y, open_, group):
+        for k in range(0, len(x), MEET_ROWS):
+            to = slice(k, k + MEET_ROWS)
+            columns = {"x": pa.array(x[to]), "y": pa.array(y[to]), "open": pa.array(np.full(len(x[to]), open_))}
+            named = pa.nulls(len(x[to]), pa.int64()) if group is None else pa.array(group[to])
+            yield pa.RecordBatch.from_pydict(columns | {"group": named})
+
+    code = np.unique(np.concatenate(pairs))
+    del pairs
+    for k in range(0, len(code), MEET_ROWS):
+        some = code[k : k + MEET_ROWS]
+        yield from rows(docs[some // len(docs)], docs[some % len(docs)], True, None)
+    z, g = np.unique(np.concatenate(stars), axis=0), np.concatenate(groups)
+    yield from rows(z[:, 0], z[:, 1], False, None)
+    yield from rows(g[:, 1], g[:, 1], False, g[:, 0])
 
 
 def _columns(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +271,11 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
     return 100 * common >= percent * (a + b - common)
 
 
-def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | None = None) -> np.ndarray:
-    """Component (index of its first member) of each sorted hash set; with ``visitors``, only their links are needed.
+def join_region(
+    sets: list[np.ndarray], percent: int, visitors: np.ndarray | None = None, side: np.ndarray | None = None
+) -> np.ndarray:
+    """Component (index of its first member) of each sorted hash set; with ``visitors``, only their links are needed, and
+    with ``side``, only those to members of another side.
 
     Recursion by pivots: a pivot's distances to its window are exact; a window holds the members that the triangle
     inequality over all earlier pivots, and the sizes, leave as possible partners of other components.
@@ -276,6 +289,7 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
     vecs = _counts(np.repeat(np.arange(m), size), flat, m, bool(m and size.max() >= LONG))
     known: list[np.ndarray] = []
     done = np.zeros(m, bool) if visitors is None else ~visitors
+    asked = np.zeros(m, bool)
     rounds = 0
     while True:
         left = np.flatnonzero(~done)
@@ -287,7 +301,11 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
         if not len(outside):
             return comp
         p = int(outside[0])
-        window = (comp != comp[p]) & _may_link(vecs, size, p, percent)
+        # Links of members that were pivots before are known.
+        among = (comp != comp[p]) & ~asked
+        if side is not None:
+            among &= side != side[p]
+        window = _may_link(vecs, size, p, percent, among)
         for d in known:
             # An unknown distance is NaN and excludes nothing.
             window &= ~(np.abs(d - d[p]) > radius + 1e-9)
@@ -307,31 +325,33 @@ def join_region(sets: list[np.ndarray], percent: int, visitors: np.ndarray | Non
                 d[p] = 0.0
                 known.append(d)
             _merge(comp, np.append(close, p))
-        done[p] = True
+        done[p] = asked[p] = True
         rounds += 1
 
 
 def _region_task(percent: int, visiting: bool):
-    """Groups consecutive rows (key, doc, visitor, body) of a sorted partition and joins each group."""
+    """Groups consecutive rows (key, doc, visitor, side, body) of a sorted partition and joins each group."""
 
-    def flush(docs, visitors, sets):
+    def flush(docs, visitors, sides, sets):
         ids = np.array(docs, np.int64)
-        comp = join_region(sets, percent, np.array(visitors, bool) if visiting else None)
+        comp = join_region(sets, percent, *((np.array(visitors, bool), np.array(sides, np.int64)) if visiting else ()))
         return pa.RecordBatch.from_pydict({"a": pa.array(ids), "b": pa.array(ids[comp])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, visitors, sets = None, [], [], []
+        key, docs, visitors, sides, sets = None, [], [], [], []
         for b in batches:
-            for k, d, v, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            for k, d, v, s, body in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
                 if k != key and docs:
-                    yield flush(docs, visitors, sets)
-                    docs, visitors, sets = [], [], []
+                    yield flush(docs, visitors, sides, sets)
+                    docs, visitors, sides, sets = [], [], [], []
                 key = k
                 docs.append(d)
                 visitors.append(v)
-                sets.append(np.frombuffer(body.as_buffer(), np.int64))
+                sides.append(s)
+                # A copy: a view would keep the whole batch in memory.
+                sets.append(np.frombuffer(body.as_buffer(), np.int64).copy())
         if docs:
-            yield flush(docs, visitors, sets)
+            yield flush(docs, visitors, sides, sets)
 
     return run
 
@@ -356,7 +376,8 @@ def _shipped(docs: DataFrame, labels: DataFrame, width: int) -> DataFrame:
 
 def _joined(rows: DataFrame, percent: int, visiting: bool) -> DataFrame:
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    spread = rows.select("key", "doc_id", "visitor", "body").repartition(int(n), "key").sortWithinPartitions("key", "doc_id")
+    side = F.col("side") if visiting else F.lit(0).cast("long")
+    spread = rows.select("key", "doc_id", "visitor", side.alias("side"), "body").repartition(int(n), "key").sortWithinPartitions("key", "doc_id")
     return spread.mapInArrow(_region_task(percent, visiting), "a long, b long")
 
 
@@ -449,8 +470,9 @@ def _join(docs: DataFrame, width: int, percent: int, block: int, scratch: Scratc
 def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch | None = None, ship=None) -> DataFrame:
     """Links between the blocks of regions that have several; the links given are part of the result.
 
-    First one member of each component of a block meets those of the other blocks; what then lies outside the largest
-    component of its region visits every block. ``sets`` has doc_id, region, blocks; ``ship`` adds the body to such
+    First one member of each component of a block meets those of the other blocks, as many as one block holds at a time.
+    What then lies outside the largest component of its region visits the other blocks (`_visits`): no task holds more
+    than two blocks, however many visitors there are. ``sets`` has doc_id, region, blocks; ``ship`` adds the body to such
     rows, by default from ``sets``.
     """
     wide = sets.filter("blocks > 1").select("doc_id", "region", "blocks")
@@ -463,17 +485,45 @@ def _across(sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch |
         return scratch.store(named.withColumn("component", F.coalesce("component", "doc_id")))
 
     now = labelled(links)
-    key = F.concat(F.lit("h"), F.col("region").cast("string"))
-    heads = ship(now.filter("doc_id = component")).withColumns({"key": key, "visitor": F.lit(False)})
+    first = F.col("doc_id") == F.col("component")
+    share = now.groupBy("region").agg(F.ceil(F.max("blocks") * F.count_if(first) / F.count("*")).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit("head"), "doc_id"), "parts")
+    heads = ship(now.filter(first).join(share.filter("parts > 0"), "region").select("doc_id", "region", part.alias("part")))
+    heads = heads.withColumns({"key": F.to_json(F.struct("region", F.col("part").alias("head"))), "visitor": F.lit(False)})
     links = scratch.store(links.union(_joined(heads, percent, False).filter("a <> b")))
     scratch.drop(now)
     now = labelled(links)
     counts = now.groupBy("region", "component").count()
-    largest = counts.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
-    now = now.join(largest, "region").withColumn("visitor", F.col("component") != F.col("largest"))
-    now = ship(scratch.store(now.select("doc_id", "region", "blocks", "visitor")))
+    largest = counts.groupBy("region").agg(
+        F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"),
+        F.sum("count").alias("docs"),
+        (F.sum("count") - F.max("count")).alias("visitors"),
+    )
+    now = now.join(largest.filter("visitors > 0"), "region").withColumn("visitor", F.col("component") != F.col("largest"))
+    now = ship(scratch.store(now.select("doc_id", "region", "blocks", "visitor", "docs", "visitors")))
+    return links.union(_joined(_visits(now), percent, True).filter("a <> b"))
+
+
+def _visits(rows: DataFrame) -> DataFrame:
+    """Each document under the keys where it meets members of other blocks: key, visitor and side are added.
+
+    Where most are visitors, each pair of blocks meets under one key, its two sides. Otherwise visitors are cut into
+    parts of the size of a block and each part meets each block; the blocks are one side, the visitors the other.
+    """
     home = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = now.withColumn("at", F.explode(F.when(F.col("visitor"), everywhere).otherwise(F.array(home))))
-    rows = rows.withColumn("key", F.to_json(F.struct("region", "at")))
-    return links.union(_joined(rows, percent, True).filter("a <> b"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    away = F.filter(blocks, lambda j: j != home)
+    parts = F.ceil(F.col("blocks") * F.col("visitors") / F.col("docs"))
+    part = F.pmod(F.xxhash64(F.lit("visit"), "doc_id"), parts)
+    none = F.lit(-1).cast("long")
+
+    def at(i, j, visitor, side):
+        return F.struct(i.alias("i"), j.alias("j"), visitor.alias("visitor"), side.alias("side"))
+
+    paired = F.transform(away, lambda j: at(F.least(home, j), F.greatest(home, j), F.col("visitor"), home))
+    abroad = F.transform(away, lambda j: at(part, j, F.lit(True), none))
+    here = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: at(i, home, F.lit(False), home))
+    cut = F.when(F.col("visitor"), F.concat(abroad, here)).otherwise(here)
+    places = F.when(2 * F.col("visitors") > F.col("docs"), paired).otherwise(cut)
+    rows = rows.select("doc_id", "region", "body", F.explode(places).alias("at"))
+    return rows.select("doc_id", "body", F.to_json(F.struct("region", "at.i", "at.j")).alias("key"), "at.visitor", "at.side")

@@ -359,3 +359,42 @@ def test_sql_counterparts(spark, sf):
     out = mixing.mix(docs).withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
     rel = db.sql(mixing.oracle())
     assert sorted(map(tuple, out.select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
+def test_edges_of_a_group_shrink_to_stars(spark):
+    # All pairs of two groups: the rounds start from one edge a node.
+    pairs = [(a, b) for n in (0, 100) for a in range(n, n + 40) for b in range(n, a)]
+    u, v = components._stars(*np.array(pairs).T)
+    assert sorted(zip(u.tolist(), v.tolist())) == [(k, n) for n in (0, 100) for k in range(n + 1, n + 40)]
+    rng = np.random.default_rng(1)
+    edges = rng.permutation(400).reshape(-1, 2).tolist() + [(k, k + 1) for k in range(0, 300, 7)]
+    u, v = components._stars(*np.array(edges).T)
+    root = dict(zip(u.tolist(), v.tolist()))
+    assert all(root.get(a, a) == root.get(b, b) for a, b in edges) and all(x > y for x, y in root.items())
+
+
+def test_blocks_meet_two_at_a_time(spark, monkeypatch):
+    # One region of 300 documents without links: no key may gather more than two blocks of about 20.
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("region"), F.lit(15).cast("long").alias("blocks"))
+    body = docs.withColumn("body", F.expr("unhex(lpad(hex(doc_id), 16, '0'))"))
+    seen, joined = [], jaccard_join._joined
+
+    def watched(rows, percent, visiting):
+        seen.append(rows.groupBy("key").count().agg(F.max("count")).first()[0])
+        return joined(rows, percent, visiting)
+
+    monkeypatch.setattr(jaccard_join, "_joined", watched)
+    none = spark.createDataFrame([], "a long, b long")
+    assert jaccard_join._across(body, none, 85).count() == 0
+    assert len(seen) == 2 and max(seen) < 90
+
+
+@pytest.mark.parametrize("visitors", [40, 200])
+def test_visitors_meet_all_other_blocks(spark, visitors):
+    docs = spark.range(200).selectExpr("id AS doc_id", "1L AS region", "5L AS blocks", f"id < {visitors} AS visitor", "200L AS docs", f"{visitors}L AS visitors", "X'00' AS body")
+    home = dict(map(tuple, docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5))).collect()))
+    keys = collections.defaultdict(list)
+    for r in jaccard_join._visits(docs).collect():
+        keys[r.key].append(r)
+    met = {frozenset((x.doc_id, y.doc_id)) for rows in keys.values() for x in rows if x.visitor for y in rows if x.side != y.side}
+    assert met == {frozenset((a, b)) for a in range(visitors) for b in range(200) if home[a] != home[b]}
