@@ -99,7 +99,10 @@ def prefixes(reps: DataFrame, least: int, coordinates: int) -> DataFrame:
 
 
 def _retained(sig: np.ndarray, least: int) -> list[tuple[np.ndarray, int]]:
-    """(members, pivot) pairs of a list with at least ``least`` equal coordinates, enough of them to join its parts."""
+    """(members, pivot) pairs of a list with at least ``least`` equal coordinates, enough of them to join its parts.
+
+    Each part that a pivot meets gives one member, so a list of n documents gives at most n - 1 pairs.
+    """
     comp = np.arange(len(sig))
     done = np.zeros(len(sig), bool)
     out = []
@@ -111,7 +114,7 @@ def _retained(sig: np.ndarray, least: int) -> list[tuple[np.ndarray, int]]:
         other = np.flatnonzero(comp != comp[p])
         hit = other[(sig[other] == sig[p]).sum(1) >= least]
         if len(hit):
-            out.append((hit, p))
+            out.append((hit[np.unique(comp[hit], return_index=True)[1]], p))
             comp[np.isin(comp, comp[hit])] = comp[p]
         done[p] = True
 

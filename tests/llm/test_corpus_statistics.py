@@ -201,3 +201,14 @@ def test_match_threshold_bounds_the_misses():
         least = minhash.match_threshold(coordinates, percent, 1e-4)
         misses = (rng.binomial(coordinates, percent / 100, 2_000_000) < least).mean()
         assert misses <= 2e-4 and (rng.binomial(coordinates, percent / 100, 2_000_000) < least + 1).mean() > 1e-4
+
+
+def test_a_list_gives_fewer_pairs_than_documents():
+    # Ten equal signatures, and thirty that match each of them but not one another.
+    rng = np.random.default_rng(5)
+    sig = rng.integers(10, 2**32, (40, 48), dtype=np.uint32)
+    sig[1:11] = 7
+    for k in (0, *range(11, 40)):
+        sig[k, rng.permutation(48)[:23]] = 7
+    pairs = [(int(m), p) for members, p in minhash._retained(sig, 23) for m in members]
+    assert len(pairs) == 39 and all((sig[a] == sig[b]).sum() >= 23 for a, b in pairs)
