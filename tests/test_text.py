@@ -89,3 +89,19 @@ def test_ratio_and_tag(spark):
     rows = spark.createDataFrame([(1.0, 0.0, 0.25), (1.0, 4.0, 1.0)], "a double, b double, f double")
     got = rows.select(tx.ratio(F.col("a"), F.col("b")).alias("r"), tx.percent_tag(F.col("f")).alias("t")).collect()
     assert [(r["r"], r["t"]) for r in got] == [(0.0, "025pct"), (0.25, "100pct")]
+
+
+def test_composition_holds_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None if k % 50 == 0 else ("e\u0301" if k % 2 else "e") * 2500 for k in range(4000)]
+    column = pa.array(texts).slice(3)
+    tracemalloc.start()
+    got = tx._composed(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.type == column.type and peak < 8_000_000
+    assert got.to_pylist() == [t if t is None else t.replace("e\u0301", "\u00e9") for t in texts[3:]]
+    assert tx._composed(pa.array([], pa.string())).to_pylist() == [] and tx._composed(pa.array([None, ""])).to_pylist() == [None, ""]
