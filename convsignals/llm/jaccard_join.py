@@ -4,7 +4,7 @@ One minus the Jaccard similarity is a metric, so distances to pivots bound dista
 gathered into regions: linked documents share one of their first shingles in a common order (longest first, frequent ones
 last), so the holders of such a shingle are searched. A pivot among them takes those into its region that the triangle
 inequality allows to link: it bounds a distance from below by sizes (distance to the empty set) and by the counts
-of shingles in PARTS parts of the universe. Holders that may link stay together, and regions that touch become one. Inside a region
+of shingles in parts of the universe, more parts for larger sets. Holders that may link stay together, and regions that touch become one. Inside a region
 the join is recursive: pivots are taken one after another among documents whose links are still open, each splits its
 region by the triangle inequality into the window that may hold links and the rest, and documents of one component
 are not compared again. Large regions are cut into blocks that are joined apart; then only documents outside the largest
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -27,8 +28,9 @@ from convsignals.llm.tables import Scratch, released
 from convsignals.operators.blocks import lookup_join
 
 PARTS = 64
-#: Sets of LONG or more shingles are counted in FINE parts, of which PARTS is a divisor; the bound is blunt with few parts.
-LONG, FINE = 1500, 1024
+#: (least set, parts): random sets of n shingles differ by about sqrt(n * parts) in their counts, links at most by a share of n, so
+#: the bound is blunt where the parts are few for n. Each number of parts divides the next.
+LEVELS = ((0, PARTS), (300, 256), (1500, 1024), (12_000, 4096))
 #: Shingles that are left to the end of the common order; any set of them gives the same links.
 FREQUENT = 50_000
 #: Holder groups up to this size are compared pair by pair, larger ones by pivots.
@@ -85,26 +87,51 @@ def _scan(docs: DataFrame, work, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _counts(owner: np.ndarray, h: np.ndarray, n: int, fine: bool) -> list[np.ndarray]:
-    """Count vectors of ``n`` sets in PARTS parts and, if ``fine``, in FINE parts."""
-    out = []
-    for parts in (PARTS, FINE)[: 1 + fine]:
-        at = owner * parts + (h.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        out.append(np.bincount(at, minlength=n * parts).reshape(n, parts).astype(np.int32))
+def _level(n: np.ndarray) -> np.ndarray:
+    """Place in LEVELS of sets of these sizes."""
+    return np.searchsorted([least for least, _ in LEVELS], n, "right") - 1
+
+
+def _counts(owner: np.ndarray, h: np.ndarray, chosen: np.ndarray, parts: int) -> np.ndarray:
+    """Count vectors, in this many parts, of the ``chosen`` sets; owners are numbers of sets."""
+    place = np.cumsum(chosen) - 1
+    mine = chosen[owner]
+    at = place[owner[mine]] * parts + (h[mine].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    return np.bincount(at, minlength=int(chosen.sum()) * parts).reshape(-1, parts)
+
+
+def _packed(owner: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Count vector of each set at its level, a byte a part, or two where a count needs them."""
+    level, out = _level(n), [b""] * len(n)
+    for k, (_, parts) in enumerate(LEVELS):
+        for i, v in zip(np.flatnonzero(level == k), _counts(owner, h, level == k, parts)):
+            out[i] = v.astype(np.uint8 if v.max() < 256 else np.uint16).tobytes()
     return out
 
 
-def _may_link(vecs: list[np.ndarray], n: np.ndarray, p: int, percent: int, among: np.ndarray | None = None) -> np.ndarray:
+def _places(level: np.ndarray) -> list[np.ndarray]:
+    """Row of each set in the vectors of each level, -1 where it has none there."""
+    return [np.where(level >= k, np.cumsum(level >= k) - 1, -1) for k in range(len(LEVELS))]
+
+
+def _may_link(
+    vecs: list[np.ndarray], n: np.ndarray, p: int, percent: int, among: np.ndarray | None = None, places: list[np.ndarray] | None = None
+) -> np.ndarray:
     """Members, of those ``among`` that are asked about, that the bounds allow to link with member ``p``.
 
     A link's symmetric difference is at most (1 - s) / (1 + s) of the sum of both sizes, and at least the distance
-    of the count vectors.
+    of the count vectors. ``places`` has the rows of members in each of ``vecs``; without it all have one, in order.
     """
     fit = np.minimum(n, n[p]) * 100 >= percent * np.maximum(n, n[p])
     some = np.flatnonzero(fit if among is None else fit & among)
-    for vec in vecs:
-        apart = np.abs(vec[some] - vec[p]).sum(1)
-        some = some[apart * (100 + percent) <= (100 - percent) * (n[some] + n[p])]
+    for vec, place in zip(vecs, places or [np.arange(len(n))] * len(vecs)):
+        if place[p] < 0:
+            break
+        at = place[some]
+        close = at < 0
+        apart = np.abs(vec[at[~close]].astype(np.int32, copy=False) - vec[place[p]].astype(np.int32)).sum(1)
+        close[~close] = apart * (100 + percent) <= (100 - percent) * (n[some[~close]] + n[p])
+        some = some[close]
     out = np.zeros(len(n), bool)
     out[some] = True
     return out
@@ -116,7 +143,7 @@ def _merge(comp: np.ndarray, members: np.ndarray) -> None:
         comp[np.isin(comp, labels)] = labels[0]
 
 
-def _gathered(vecs: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+def _gathered(vecs: list[np.ndarray], n: np.ndarray, percent: int, places: list[np.ndarray] | None = None) -> np.ndarray:
     """Label (first member) of the parts of a group between which no link is possible."""
     comp = np.arange(len(n))
     done = np.zeros(len(n), bool)
@@ -127,7 +154,7 @@ def _gathered(vecs: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray
         if not len(left):
             return comp
         p = left[0]
-        _merge(comp, np.append(np.flatnonzero(_may_link(vecs, n, p, percent)), p))
+        _merge(comp, np.append(np.flatnonzero(_may_link(vecs, n, p, percent, places=places)), p))
         done[p] = True
 
 
@@ -143,24 +170,20 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         n = np.bincount(own, minlength=len(ids))
         a = _sum_by(own, mix(h ^ np.uint64(0x5851F42D4C957F2D)), len(ids)).view(np.int64)
         b = _sum_by(own, mix(h + np.uint64(0x14057B7EF767814F)), len(ids)).view(np.int64)
-        vecs = _counts(own, h, len(ids), bool((n >= LONG).any()))
-        vec = [vecs[-1][k] if n[k] >= LONG else vecs[0][k] for k in range(len(ids))]
         _, first = np.unique(a, return_index=True)
         distinct = np.isin(own, first)
         often, c = np.unique(h[distinct], return_counts=True)
         often = often[c >= 4].view(np.int64)
-        k, m = len(ids), len(often)
-        ends = np.concatenate([[0], np.cumsum([len(v) for v in vec])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*vec, np.zeros(0, np.int32)]).astype(np.int32)))
+        m = len(often)
         return {
             "doc_id": pa.array(np.concatenate([ids, np.zeros(m, np.int64)])),
             "n": pa.array(np.concatenate([n, np.full(m, -1)]).astype(np.int64)),
             "a": pa.array(np.concatenate([a, often])),
             "b": pa.array(np.concatenate([b, np.zeros(m, np.int64)])),
-            "vec": pa.concat_arrays([lists, pa.nulls(m, pa.list_(pa.int32()))]),
+            "vec": pa.array([*_packed(own, h, n), *[None] * m], pa.binary()),
         }
 
-    return _scan(docs, work, "doc_id long, n long, a long, b long, vec array<int>")
+    return _scan(docs, work, "doc_id long, n long, a long, b long, vec binary")
 
 
 def _first_shingles(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -230,43 +253,65 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(g[:, 1], g[:, 1], False, g[:, 0])
 
 
-def _columns(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Count vectors of all rows in PARTS parts, and of the long ones, in order, in FINE parts."""
-    lengths = vec.value_lengths().to_numpy()
-    flat = vec.flatten().to_numpy()
-    long = np.repeat(lengths == FINE, lengths)
-    fine = flat[long].reshape(-1, FINE)
-    coarse = np.empty((len(lengths), PARTS), np.int32)
-    coarse[lengths == PARTS] = flat[~long].reshape(-1, PARTS)
-    coarse[lengths == FINE] = fine.reshape(-1, FINE // PARTS, PARTS).sum(1)
-    return coarse, fine
+def _columns(vec: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Level of each packed vector, and for each level the vectors of the rows that have it, summed to its parts."""
+    width = pc.binary_length(vec).to_numpy(zero_copy_only=False)
+    level = np.zeros(len(vec), np.int64)
+    own = {}
+    for k, (_, parts) in enumerate(LEVELS):
+        for size, kind in ((parts, np.uint8), (2 * parts, np.uint16)):
+            if (rows := np.flatnonzero(width == size)).size:
+                level[rows] = k
+                own[rows.tobytes()] = (rows, np.frombuffer(b"".join(vec.take(pa.array(rows)).to_pylist()), kind).reshape(-1, parts))
+    vecs = []
+    for (_, parts), place in zip(LEVELS, _places(level)):
+        out = np.zeros((int(place.max(initial=-1)) + 1, parts), np.uint16)
+        for rows, v in own.values():
+            if v.shape[1] >= parts:
+                out[place[rows]] = v.reshape(len(rows), -1, parts).sum(1)
+        vecs.append(out)
+    return level, vecs
 
 
 def _part_groups(percent: int):
     """Edges (a, b) between the holders of a shingle that may link, through the first of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(*(b.column(i).to_numpy() for i in range(3)), *_columns(b.column(3))) for b in batches]
-        if not rows:
+        held = list(batches)
+        if not held:
             return
-        group, doc, n, coarse, fine = (np.concatenate(c) for c in zip(*rows))
+        rows = pa.Table.from_batches(held)
+        group, doc, n = (rows.column(i).to_numpy() for i in range(3))
+        level, vecs = _columns(rows.column(3).combine_chunks())
+        places = _places(level)
         order = np.lexsort((doc, group))
         edge = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1], [True]])) if len(group) else np.zeros(1, np.int64)
         head = np.arange(len(doc))
-        row_of_fine = np.cumsum(n >= LONG) - 1
         for x, y in zip(edge, edge[1:]):
             at = order[x:y]
-            parts = _gathered([coarse[at]], n[at], percent)
-            for k in np.unique(parts):
-                mine = at[parts == k]
-                head[mine] = mine[0]
-                if len(mine) > 1 and (n[mine] >= LONG).all():
-                    head[mine] = mine[_gathered([coarse[mine], fine[row_of_fine[mine]]], n[mine], percent)]
+            head[at] = at[_gathered(vecs, n[at], percent, [place[at] for place in places])]
         yield pa.RecordBatch.from_pydict({"a": pa.array(doc), "b": pa.array(doc[head])})
 
     return run
 
 
+def _near_pairs(percent: int):
+    """Pairs (a, b) of the rows (a, b, na, nb, open, va, vb) whose counts allow a link, and all that are not open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            na, nb = (rows.column(i).to_numpy() for i in (2, 3))
+            (la, va), (lb, vb) = _columns(rows.column(5)), _columns(rows.column(6))
+            keep = ~rows.column(4).to_numpy(zero_copy_only=False)
+            for k, (x, y) in enumerate(zip(_places(la), _places(lb))):
+                at = np.flatnonzero(~keep & (np.minimum(la, lb) == k))
+                apart = np.abs(va[k][x[at]].astype(np.int32) - vb[k][y[at]].astype(np.int32)).sum(1)
+                keep[at] = apart * (100 + percent) <= (100 - percent) * (na[at] + nb[at])
+            yield pa.RecordBatch.from_pydict({c: rows.column(i).filter(pa.array(keep)) for i, c in enumerate("ab")})
+
+    return run
+
+
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
@@ -286,7 +331,9 @@ def join_region(
     first = np.concatenate([[0], np.cumsum(size)])
     comp = np.arange(m)
     radius = 1 - percent / 100
-    vecs = _counts(np.repeat(np.arange(m), size), flat, m, bool(m and size.max() >= LONG))
+    level = _level(size)
+    places, deep = _places(level), LEVELS[: level.max(initial=0) + 1]
+    vecs = [_counts(np.repeat(np.arange(m), size), flat, level >= k, parts).astype(np.uint16) for k, (_, parts) in enumerate(deep)]
     known: list[np.ndarray] = []
     done = np.zeros(m, bool) if visitors is None else ~visitors
     asked = np.zeros(m, bool)
@@ -305,7 +352,7 @@ def join_region(
         among = (comp != comp[p]) & ~asked
         if side is not None:
             among &= side != side[p]
-        window = _may_link(vecs, size, p, percent, among)
+        window = _may_link(vecs, size, p, percent, among, places)
         for d in known:
             # An unknown distance is NaN and excludes nothing.
             window &= ~(np.abs(d - d[p]) > radius + 1e-9)
@@ -381,21 +428,6 @@ def _joined(rows: DataFrame, percent: int, visiting: bool) -> DataFrame:
     return spread.mapInArrow(_region_task(percent, visiting), "a long, b long")
 
 
-def _distance(a, b):
-    """Distance of two count vectors, compared in as many parts as both have."""
-
-    def sums(v):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(PARTS - 1)),
-            lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(FINE // PARTS - 1)), F.lit(0), lambda s, j: s + F.get(v, i + j * PARTS)),
-        )
-
-    def l1(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-
-    return F.when(F.size(a) == F.size(b), l1(a, b)).when(F.size(a) > F.size(b), l1(sums(a), b)).otherwise(l1(a, sums(b)))
-
-
 def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= ``percent`` * union.
 
@@ -438,11 +470,9 @@ def _join(docs: DataFrame, width: int, percent: int, block: int, scratch: Scratc
     left = member.select(F.col("doc_id").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     right = member.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
     both = pairs.join(left, "x").join(right, "y").filter("a <> b")
-    apart = _distance(F.col("va"), F.col("vb"))
-    may_link = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (
-        apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
-    )
-    near = scratch.store(both.filter(~F.col("open") | may_link).select("a", "b").distinct())
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = both.filter(~F.col("open") | fit).select("a", "b", "na", "nb", "open", "va", "vb")
+    near = scratch.store(both.mapInArrow(_near_pairs(percent), "a long, b long").distinct())
     scratch.drop(met)
     regions = connected_components(near.union(gathered), scratch)
     weights = regions.join(member.filter("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")

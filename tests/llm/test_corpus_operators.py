@@ -398,3 +398,24 @@ def test_visitors_meet_all_other_blocks(spark, visitors):
         keys[r.key].append(r)
     met = {frozenset((x.doc_id, y.doc_id)) for rows in keys.values() for x in rows if x.visitor for y in rows if x.side != y.side}
     assert met == {frozenset((a, b)) for a in range(visitors) for b in range(200) if home[a] != home[b]}
+
+
+def test_long_unlike_sets_with_a_common_passage_share_no_region(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"a-long-common-word-{g}-{k}" for k in range(8)) for g in range(2)]
+    texts = [[f"v{x}" for x in rng.integers(0, 10**6, int(rng.integers(700, 2600)))] for _ in range(50)]
+    rows = [(i, " ".join([passages[i % 5 == 0], *w])) for i, w in enumerate(texts)]
+    # Near copies on both sides of each level.
+    for k, (least, _) in enumerate(jaccard_join.LEVELS[1:]):
+        w = [f"u{x}" for x in rng.integers(0, 10**6, least + least // 20)]
+        rows += [(100 + 10 * k + j, " ".join(w[: least + j * least // 20])) for j in (-1, 0, 1)]
+    labelled, shipped = [], jaccard_join._shipped
+
+    def watched(docs, labels, width):
+        labelled.append({r.doc_id for r in labels.collect()})
+        return shipped(docs, labels, width)
+
+    monkeypatch.setattr(jaccard_join, "_shipped", watched)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 80)
+    assert labelled[0] == {i for i, _ in rows if i >= 99}
