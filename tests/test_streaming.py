@@ -194,3 +194,18 @@ def test_stream_copies(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["norm"] for r in spark.table(name).collect()) == ["other", "same text"]
+
+
+def test_plans_of_a_batch_stay_small(spark, monkeypatch):
+    rows = [(k, k, 0, "customer", f"a message of some length number {k}") for k in range(4)]
+    batch = spark.createDataFrame(rows, "row_id long, conversation_id long, pos int, role string, text string")
+    index = spark.createDataFrame([], intake.INDEX_SCHEMA)
+    plans, kept = [], intake.stored
+
+    def watched(df):
+        plans.append(len(df._jdf.queryExecution().toString()))
+        return kept(df)
+
+    monkeypatch.setattr(intake, "stored", watched)
+    plans.append(len(intake.judge_batch(batch, index)._jdf.queryExecution().toString()))
+    assert max(plans) < 100_000, plans
