@@ -10,7 +10,6 @@ from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -21,6 +20,7 @@ from pyspark.sql import types as T
 
 from convsignals.functions import text as tx
 from convsignals.operators import metrics as mx
+from convsignals.operators.forest import ForestModel, RandomForest
 from convsignals.operators.standardize import apply_scaler, fit_scaler
 from convsignals.operators.tfidf import term_counts, vocabulary, word_terms
 from convsignals.schema import POSITIVE_CLASS, assert_no_leakage
@@ -80,24 +80,16 @@ def logistic_regression(n_train: int, c: float = 1.0, weighted: bool = False, ma
     return model.setWeightCol("weight") if weighted else model
 
 
-def random_forest(seed: int = SEED, trees: int = 200, min_leaf: int = 2) -> RandomForestClassifier:
-    """Depth is limited to 30, the most Spark allows."""
-    return RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label_id",
-        numTrees=trees,
-        minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="sqrt",
-        maxDepth=30,
-        seed=seed,
-    )
+def random_forest(seed: int = SEED, trees: int = 200, min_leaf: int = 2, classes: int = 2, key: str = "conversation_id") -> RandomForest:
+    """Depth is limited to 30, the most Spark ML allows."""
+    return RandomForest(trees=trees, min_leaf=min_leaf, max_depth=30, classes=classes, seed=seed, key=key)
 
 
 @dataclass
 class Candidates:
     """Fitted models, their validation metrics, the chosen one and its test predictions."""
 
-    models: dict[str, Model]
+    models: dict[str, Model | ForestModel]
     validation: DataFrame
     chosen: str
     test_predictions: DataFrame
@@ -128,7 +120,7 @@ def train_and_select(
     n_train = inputs["logistic_regression"].where("split = 'train'").count()
     estimators = {
         "logistic_regression": logistic_regression(n_train),
-        "random_forest": random_forest(trees=forest_trees),
+        "random_forest": random_forest(trees=forest_trees, classes=len(classes), key=key),
     }
     models, scores = {}, None
     for name, estimator in estimators.items():
@@ -141,7 +133,7 @@ def train_and_select(
     return Candidates(models, scores, chosen, as_predictions(test, classes, key))
 
 
-def importance_table(spark: SparkSession, model: Model, names: Sequence[str]) -> DataFrame:
+def importance_table(spark: SparkSession, model: Model | ForestModel, names: Sequence[str]) -> DataFrame:
     """Feature coefficients by absolute size, or forest importances, largest first."""
     if isinstance(model, LogisticRegressionModel):
         values = model.coefficients.toArray().tolist()

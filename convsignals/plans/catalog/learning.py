@@ -48,7 +48,7 @@ def text_classifier_predictions(spark, folder):
 
 
 def behavior_classifier_metrics(spark, folder):
-    table = _behavior_table(spark, folder)
+    table = stored(_behavior_table(spark, folder))
     chosen = md.train_and_select(table, S.PURE_FEATURES, c.CLASSES, forest_trees=FOREST_TREES)
     scored = chosen.test_predictions.withColumn("model", F.lit(chosen.chosen))
     return mx.evaluate(scored, c.CLASSES, S.POSITIVE_CLASS, ["model"])
