@@ -6,11 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.base import Model
-from pyspark.ml.classification import (
-    LogisticRegression,
-    LogisticRegressionModel,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -21,6 +17,7 @@ from pyspark.sql import types as T
 from convsignals.functions import text as tx
 from convsignals.operators import metrics as mx
 from convsignals.operators.forest import ForestModel, RandomForest
+from convsignals.operators.network import Network
 from convsignals.operators.standardize import apply_scaler, fit_scaler
 from convsignals.operators.tfidf import term_counts, vocabulary, word_terms
 from convsignals.schema import POSITIVE_CLASS, assert_no_leakage
@@ -257,10 +254,8 @@ def fusion_table(
     return joined.withColumn("features", array_to_vector(both))
 
 
-def fusion_classifier(width: int, classes: int = 2, hidden: int = 256, seed: int = SEED, max_iter: int = 100) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="label_id", layers=[width, hidden, classes], seed=seed, maxIter=max_iter
-    )
+def fusion_classifier(width: int, classes: int = 2, hidden: int = 256, seed: int = SEED, max_iter: int = 100) -> Network:
+    return Network(width, classes, hidden, seed, max_iter)
 
 
 # -------------------------------------------------------- external text models

@@ -1,0 +1,148 @@
+"""A network with one hidden layer, fitted by L-BFGS on gradients that tasks add up.
+
+Network, start and loss are those of Spark ML's multilayer perceptron, and so is the fitted model; only its gradient, which Spark ML
+takes in small blocks by plain loops, is a few matrix products per packed block of rows here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a block: its hidden units stay in the processor's cache.
+BLOCK_ROWS = 1024
+#: Bytes of features in a task at most, and gradients that reach the driver at once.
+TASK_BYTES = 64 << 20
+GRADIENTS = 64
+
+
+def gradient(w: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int, classes: int) -> tuple[float, np.ndarray]:
+    """Summed cross-entropy of sigmoid units under a softmax, and its gradient, in Spark ML's order of weights."""
+    d = x.shape[1]
+    ends = np.cumsum([hidden * d, hidden, classes * hidden, classes])
+    w1, b1, w2, b2 = np.split(w, ends[:-1])
+    w1, w2 = w1.reshape(d, hidden), w2.reshape(hidden, classes)
+    with np.errstate(over="ignore"):
+        h = 1 / (1 + np.exp(-(x @ w1 + b1)))
+    z = h @ w2 + b2
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z)
+    total = p.sum(1, keepdims=True)
+    rows = np.arange(len(y))
+    loss = float((np.log(total[:, 0]) - z[rows, y]).sum())
+    p /= total
+    p[rows, y] -= 1
+    back = (p @ w2.T) * h * (1 - h)
+    return loss, np.concatenate([(x.T @ back).ravel(), back.sum(0), (h.T @ p).ravel(), p.sum(0)])
+
+
+def minimize(f: Callable, w: np.ndarray, max_iter: int, tol: float, memory: int = 10) -> np.ndarray:
+    """L-BFGS with a line search for the Wolfe conditions; ends, as Spark ML does, when twenty steps gain less than ``tol`` of the first value."""
+    value, g = f(w)
+    values = [value]
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        q, kept = g.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(kept)):
+            q += s * (a - (y @ q) / (s @ y))
+        slope, size = -(g @ q), 1.0 if steps else 1 / max(np.linalg.norm(g), 1e-12)
+        if slope >= 0:
+            break
+        low, high = 0.0, np.inf
+        for _ in range(20):
+            new_value, new_g = f(w - size * q)
+            if new_value > value + 1e-4 * size * slope:
+                high = size
+            elif -(new_g @ q) < 0.9 * slope:
+                low = size
+            else:
+                break
+            size = 2 * low if high == np.inf else (low + high) / 2
+        if not new_value < value:
+            break
+        move, turn = -size * q, new_g - g
+        if move @ turn > 1e-12:
+            steps = [*steps, (move, turn)][-memory:]
+        w, value, g = w - size * q, new_value, new_g
+        if max(values[-20:]) - value <= tol * abs(values[0]):
+            break
+        values.append(value)
+    return w
+
+
+@dataclass(frozen=True)
+class Network:
+    """Rows have a ``features`` vector and ``label_id`` from 0 to classes - 1."""
+
+    width: int
+    classes: int = 2
+    hidden: int = 256
+    seed: int = 42
+    max_iter: int = 100
+    tol: float = 1e-6
+
+    def spark_ml(self, **params) -> MultilayerPerceptronClassifier:
+        return MultilayerPerceptronClassifier(
+            featuresCol="features", labelCol="label_id", layers=[self.width, self.hidden, self.classes], seed=self.seed, tol=self.tol, **params
+        )
+
+    def fit(self, rows: DataFrame) -> MultilayerPerceptronClassificationModel:
+        width, hidden, classes = self.width, self.hidden, self.classes
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x, y = np.stack(b["x"].to_numpy()).astype(np.float64), b["y"].to_numpy(np.int64)
+                parts = [slice(i, i + BLOCK_ROWS) for i in range(0, len(b), BLOCK_ROWS)]
+                yield pd.DataFrame({"x": [x[p].tobytes() for p in parts], "y": [y[p].tobytes() for p in parts]})
+
+        def added(w: np.ndarray) -> DataFrame:
+            def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                loss, g = 0.0, np.zeros(len(w))
+                for b in batches:
+                    for x, y in zip(b["x"], b["y"]):
+                        more, part = gradient(w, np.frombuffer(x).reshape(-1, width), np.frombuffer(y, np.int64), hidden, classes)
+                        loss, g = loss + more, g + part
+                yield pd.DataFrame({"loss": [loss], "g": [g.tobytes()]})
+
+            return blocks.mapInPandas(add, "loss double, g binary")
+
+        def merge(parts: pd.DataFrame) -> pd.DataFrame:
+            g = sum(np.frombuffer(p) for p in parts["g"])
+            return pd.DataFrame({"loss": [parts["loss"].sum()], "g": [g.tobytes()]})
+
+        def mean(w: np.ndarray) -> tuple[float, np.ndarray]:
+            parts = added(w)
+            if tasks > GRADIENTS:
+                parts = parts.groupBy((F.spark_partition_id() % GRADIENTS).alias("lot")).applyInPandas(merge, "loss double, g binary")
+            got = parts.collect()
+            return sum(r["loss"] for r in got) / n, sum(np.frombuffer(r["g"]) for r in got) / n
+
+        known = F.col("label_id").isin(*[float(i) for i in range(classes)])
+        n, good = rows.agg(F.count(F.lit(1)), F.count_if(known)).first()
+        if not n or good < n:
+            raise ValueError(f"a network needs rows, and a class for each: {n} rows, {good} with a class")
+        # No iteration: Spark ML's start, and at the end a model of the given weights.
+        start = self.spark_ml(maxIter=0).fit(rows.limit(1)).weights.toArray()
+        tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * width * 8 // TASK_BYTES))
+        given = rows.select(vector_to_array("features").alias("x"), F.col("label_id").cast("long").alias("y"))
+        blocks = given.repartition(tasks).mapInPandas(pack, "x binary, y binary").persist()
+        try:
+            fitted = minimize(mean, start, self.max_iter, self.tol)
+        finally:
+            blocks.unpersist()
+        return self.spark_ml(maxIter=0, initialWeights=DenseVector(fitted)).fit(rows.limit(1))

@@ -82,7 +82,7 @@ def fusion_metrics(spark, folder):
     )
     split = sp.stratified_split(vectors.select("conversation_id", "label")).drop("label")
     messages = c.timed(spark, folder).withColumn("message_length_chars", F.length("text"))
-    table = bh.feature_rows(split, bh.behavioral_features(messages, names))
+    table = stored(bh.feature_rows(split, bh.behavioral_features(messages, names)))
     fused = md.fusion_table(vectors, st.standardized(table, names), names, "conversation_id")
     rows = stored(md.with_class_number(fused, c.CLASSES).select("conversation_id", "label", "label_id", "split", "features"))
     width = len(rows.select("features").first()[0])
