@@ -374,6 +374,40 @@ def test_a_subsequence_is_given_up_only_below_the_threshold():
         assert fz.ratio_from(a, fz.char_places(a), b, 88.0) in ((score,) if score >= 88 else (score, -1.0))
 
 
+@pytest.mark.parametrize("few", [0, 2500])
+def test_a_text_meets_a_block_of_texts_as_it_meets_each(monkeypatch, few):
+    monkeypatch.setattr(fz, "FEW", few)
+    monkeypatch.setattr(fz, "LEAST_STEP", 7)
+    monkeypatch.setattr(fz, "BLOCK_BITS", 1000)
+    rng = random.Random(13)
+    found = 0
+    for letters in ("ab", "abcd é漢😀", "etaoin shrdlu"):
+        for size in (0, 1, 25, 240):
+            base = "".join(rng.choices(letters, k=size))
+            texts = [mutated(rng, base, rng.randint(0, 1 + size // 5)) for _ in range(12)] + [base, "", "".join(rng.choices(letters, k=size))]
+            block = fz.Block(texts)
+            for i in (0, 5, 12, 13):
+                ratios, apart = block.ratios(i, np.arange(len(texts)), 88.0), block.apart(i, slice(0, len(texts)))
+                for k, text in enumerate(texts):
+                    score = fz.indel_ratio(texts[i], text)
+                    assert ratios[k] == score if score >= 88 else ratios[k] < 88
+                    assert apart[k] <= len(texts[i]) + len(text) - 2 * fz.common_subsequence(texts[i], text)
+                    found += score >= 88
+    assert found > 100
+
+
+def test_fuzzy_cells_of_many_texts_are_cut(spark, monkeypatch):
+    """The pairs of a cell grow with the square of its texts, so no task may hold a cell of many short ones."""
+    monkeypatch.setattr(dp, "CELL_TEXTS", 5)
+    texts = [f"text number {k:03d} of one length" for k in range(20)]
+    frame = spark.createDataFrame([(t, t) for t in texts], "key string, norm string")
+    dealt = dp._dealt(dp._prepared(frame, "key").withColumn("side", F.lit("s")), True)
+    most = dealt.select(F.inline("at")).groupBy("cell", "i", "j").count().agg(F.max("count")).first()[0]
+    assert most < 20
+    got = dp.fuzzy_scores(frame, frame, "key", "key", 88.0, same=True).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == 20 * 19
+
+
 def test_low_thresholds_are_refused(spark):
     frame = spark.createDataFrame([("a", "a")], "key string, norm string")
     with pytest.raises(S.DataError):
