@@ -374,9 +374,10 @@ def test_a_subsequence_is_given_up_only_below_the_threshold():
         assert fz.ratio_from(a, fz.char_places(a), b, 88.0) in ((score,) if score >= 88 else (score, -1.0))
 
 
-@pytest.mark.parametrize("few", [0, 2500])
-def test_a_text_meets_a_block_of_texts_as_it_meets_each(monkeypatch, few):
+@pytest.mark.parametrize("few, small", [(0, 0), (0, 30_000), (2500, 30_000)])
+def test_a_text_meets_a_block_of_texts_as_it_meets_each(monkeypatch, few, small):
     monkeypatch.setattr(fz, "FEW", few)
+    monkeypatch.setattr(fz, "SMALL", small)
     monkeypatch.setattr(fz, "LEAST_STEP", 7)
     monkeypatch.setattr(fz, "BLOCK_BITS", 1000)
     rng = random.Random(13)
