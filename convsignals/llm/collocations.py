@@ -1,10 +1,10 @@
 """Collocations: phrases whose words occur together more often than apart, mined level by level.
 
 A phrase of k words can be frequent only if both of its parts of k - 1 words are (Apriori), so each level scans the texts with
-a filter of the level before and counts, up to the threshold, what passes: the evidence of a phrase reaches the threshold
-just when its count does. These candidates are put in double-array tries, of at most TRIE phrases each, and a trie is broadcast.
-A task moves the states of all its text positions through the trie at once, one symbol after another, and bincounts the
-states that accept; counts are summed over the texts.
+a filter of the level before and counts what passes: the filter loses no occurrence of a frequent phrase. A level of at
+most TRIE candidates is put in a double-array trie, which is broadcast. A task moves the states of all its text positions through
+the trie at once, one symbol after another, and bincounts the states that accept; counts are summed over the texts. A larger
+level takes the counts of its scan, so the passes over the texts do not grow with the candidates.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ LONGEST = 3
 ABSORBED = 50
 #: Phrases returned for a language.
 TOP = 2000
-#: Phrases in one trie, which is the most that is broadcast at a time; more are counted by further passes.
+#: Phrases in one trie, which is the most that is broadcast at a time; where there are more, their scan counts them.
 TRIE = 500_000
 #: Symbols that spell a word after the first.
 DIGITS = 3
@@ -90,9 +90,9 @@ def _key(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def frequent_phrases(docs: DataFrame, k: int, shorter: DataFrame, least: int = LEAST) -> DataFrame:
-    """(w1 .. wk): phrases of ``k`` words with ``least`` occurrences, given the frequent ones of k - 1 words.
+    """(w1 .. wk, a): phrases of ``k`` words with ``least`` occurrences and their number, given the frequent ones of k - 1 words.
 
-    Both parts of k - 1 words pass a filter of fixed size first. Evidence of a task ends at ``least`` per hand-over.
+    Both parts of k - 1 words pass a filter of fixed size first.
     """
     w = [f"w{i + 1}" for i in range(k)]
     parts = [f"w{i + 1}" for i in range(k - 1)]
@@ -104,9 +104,9 @@ def frequent_phrases(docs: DataFrame, k: int, shorter: DataFrame, least: int = L
         order = hash_order(_key(ids))
         ids = [x[order] for x in ids]
         first = np.flatnonzero(edges(*ids))
-        n = np.minimum(np.diff(np.append(first, len(order))), least)
+        n = np.diff(np.append(first, len(order)))
         columns = {c: pa.array(x[first].view(np.int64)) for c, x in zip(w, ids)}
-        return pa.RecordBatch.from_pydict(columns | {"seen": pa.array(n.astype(np.int16))})
+        return pa.RecordBatch.from_pydict(columns | {"seen": pa.array(n.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -127,7 +127,7 @@ def frequent_phrases(docs: DataFrame, k: int, shorter: DataFrame, least: int = L
             yield evidence(held)
 
     schema = ", ".join(f"{c} long" for c in w)
-    found = _coded(docs).mapInArrow(run, f"{schema}, seen short")
+    found = _coded(docs).mapInArrow(run, f"{schema}, seen int")
     dealt = found.repartition(text_partitions(docs), *w)
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +138,11 @@ def frequent_phrases(docs: DataFrame, k: int, shorter: DataFrame, least: int = L
         order = hash_order(_key([x.view(np.uint64) for x in ids]))
         ids, n = [x[order] for x in ids], n[order].astype(np.int64)
         first = np.flatnonzero(edges(*ids))
-        stay = first[np.add.reduceat(n, first) >= least] if len(first) else first
-        yield pa.RecordBatch.from_pydict({c: pa.array(x[stay]) for c, x in zip(w, ids)})
+        sums = np.add.reduceat(n, first) if len(first) else first
+        stay = first[sums >= least]
+        yield pa.RecordBatch.from_pydict({c: pa.array(x[stay]) for c, x in zip(w, ids)} | {"a": pa.array(sums[sums >= least])})
 
-    out = released(dealt.mapInArrow(enough, schema))
+    out = released(dealt.mapInArrow(enough, f"{schema}, a long"))
     shared.unpersist()
     return out
 
@@ -273,45 +274,34 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
-def phrase_counts(docs: DataFrame, phrases: DataFrame, k: int, most: int = TRIE) -> DataFrame:
-    """(w1 .. wk, a): occurrences of each of the distinct ``phrases``, a stored table.
-
-    Each trie takes about ``most`` phrases and is built in a task of its own; it is the only thing broadcast by a pass over the texts.
-    """
+def phrase_counts(docs: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
+    """(w1 .. wk, a): occurrences of each of the distinct ``phrases``, a stored table of few; their trie is broadcast."""
     spark = docs.sparkSession
-    w = [f"w{i + 1}" for i in range(k)]
-    shards = max(1, -(-phrases.count() // most))
-    placed = phrases.withColumn("shard", F.pmod(F.xxhash64(*w), F.lit(shards)).cast("long"))
-    order = Window.partitionBy("shard").orderBy(*w)
-    placed = released(placed.withColumn("number", F.row_number().over(order) - 1))
+    w = _w(1, k)
+    order = Window.partitionBy("all").orderBy(*w)
+    placed = released(phrases.withColumn("all", F.lit(0)).withColumn("number", F.row_number().over(order) - 1))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("number")
         t = Trie.build([table.column(c).to_numpy() for c in w])
-        return pa.table({"shard": [key[0].as_py()], "n": [table.num_rows], "words": [t.words.tobytes()], "base": [t.base.tobytes()], "check": [t.check.tobytes()]})
-
-    tries = released(placed.groupBy("shard").applyInArrow(build, "shard long, n long, words binary, base binary, check binary"))
-    coded = _coded(docs)
-    parts = []
-    # One trie at a time reaches the driver and is broadcast.
-    for row in tries.toLocalIterator():
-        shard = row["shard"]
-        trie = Trie(np.frombuffer(row["words"], np.int64), np.frombuffer(row["base"], np.int32), np.frombuffer(row["check"], np.int32))
-        shared, n = spark.sparkContext.broadcast(trie), row["n"]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, n=n) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(n, np.int64)
-            for ids, goes, *_ in _positions(batches):
-                total += shared.value.count(ids.view(np.int64), goes, k, n)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"number": pa.array(at), "a": pa.array(total[at])})
-
-        counted = coded.mapInArrow(run, "number long, a long").groupBy("number").agg(F.sum("a").alias("a"))
-        parts.append(released(placed.filter(F.col("shard") == shard).join(counted, "number").select(*w, "a")))
-        shared.unpersist()
-    out = phrases.select(*w, F.lit(0).cast("long").alias("a")).filter("false")
-    for p in parts:
-        out = out.union(p)
+        return pa.table({"n": [table.num_rows], "words": [t.words.tobytes()], "base": [t.base.tobytes()], "check": [t.check.tobytes()]})
+
+    row = placed.groupBy("all").applyInArrow(build, "n long, words binary, base binary, check binary").first()
+    if row is None:
+        return phrases.select(*w, F.lit(0).cast("long").alias("a"))
+    trie = Trie(np.frombuffer(row["words"], np.int64), np.frombuffer(row["base"], np.int32), np.frombuffer(row["check"], np.int32))
+    shared, n = spark.sparkContext.broadcast(trie), row["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for ids, goes, *_ in _positions(batches):
+            total += shared.value.count(ids.view(np.int64), goes, k, n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"number": pa.array(at), "a": pa.array(total[at])})
+
+    counted = _coded(docs).mapInArrow(run, "number long, a long").groupBy("number").agg(F.sum("a").alias("a"))
+    out = released(placed.join(counted, "number").select(*w, "a"))
+    shared.unpersist()
     return out
 
 
@@ -361,8 +351,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ab
     counts = {1: known.select(F.col("id").alias("w1"), F.col("n").alias("a"))}
     shorter = counts[1].select("w1")
     for k in range(2, longest + 1):
-        shorter = frequent_phrases(docs, k, shorter, least)
-        counts[k] = phrase_counts(docs, shorter, k, trie)
+        found = frequent_phrases(docs, k, shorter, least)
+        shorter = found.select(*_w(1, k))
+        counts[k] = found if found.count() > trie else phrase_counts(docs, shorter, k)
     langs = known.select(F.col("id").alias("w1"), "lang")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     spelled = known.select("id", "word")

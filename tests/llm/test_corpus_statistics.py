@@ -118,6 +118,16 @@ def test_collocations_match_brute_force(spark, trie):
     assert sorted(map(tuple, got)) == brute_collocations(rows, 5, 50, 40) and len(got) > 30
 
 
+def test_passes_over_the_texts_do_not_grow_with_the_phrases(spark, monkeypatch):
+    """Levels beyond one trie took a pass per trie; now their scan counts them."""
+    rows, scans = [(k, "one two three four five six seven. " * 6, "en", "s") for k in range(3)], []
+    coded = collocations._coded
+    monkeypatch.setattr(collocations, "_coded", lambda docs: scans.append(1) or coded(docs))
+    got = collocations.collocations(frame(spark, rows), least=5, top=40, trie=2).collect()
+    assert sorted(map(tuple, got)) == brute_collocations(rows, 5, 50, 40)
+    assert len(scans) == 3
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(frame(spark, [])).collect() == []
     assert collocations.collocations(frame(spark, [(1, "one two. three", "en", "s")])).collect() == []
