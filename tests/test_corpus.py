@@ -494,6 +494,28 @@ def test_blocks_and_matrices_lose_no_similar_pair(spark, monkeypatch, same):
     assert set(got) == expected and len(got) == len(expected) > 20
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_counted_documents_meet_in_blocks_without_a_row_per_term(spark, monkeypatch, same):
+    """Vectors of 12 bytes a term made from a row per term filled the disk; counts above a byte and a plan without such rows."""
+    monkeypatch.setattr(sm, "COUNTED_BLOCK_DOCS", 9)
+    monkeypatch.setattr(sm, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(sm, "BATCH_DOCS", 3)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdé漢", k=rng.randint(1, 5))) for _ in range(30)]
+    documents = {i: " ".join(rng.choices(words, k=12)) for i in range(24)}
+    documents |= {100 + i: documents[i] + "  " + rng.choice(words).upper() for i in range(20)} | {200: "ab " * 700, 201: "ab " * 701 + "c", 202: " ", 203: ""}
+    rows = spark.createDataFrame(list(documents.items()), "id long, document string")
+    unique = rows.withColumn("copies", F.lit(1))
+    vocab = sm._Vocabulary(sm._gram_vocabulary(unique, rows, 300))
+    left, right = (rows, rows) if same else (rows.where("id < 110"), rows.where("id >= 110"))
+    counted = [vocab.counted(x, "id") for x in (left, right)]
+    assert "Generate" not in counted[0]._jdf.queryExecution().executedPlan().toString()
+    pairs = sm._counted_pairs(vocab, *counted, 0.8, same=same).collect()
+    expected = {p: s for p, s in brute_cosines(documents, 300).items() if s >= 0.8 and (same or p[0] < 110 <= p[1])}
+    assert {(r["a"], r["b"]): round(r["cosine"], 9) for r in pairs} == {p: round(s, 9) for p, s in expected.items()}
+    assert len(pairs) == len(expected) > 8 and (same is False or (200, 201) in expected)
+
+
 def test_term_counts_move_texts_not_terms(spark):
     docs = spark.createDataFrame([(1, "red red blue"), (2, "red green"), (1, "blue")], "id int, text string")
     counts = tf.term_counts(docs, "id", tf.word_terms(F.col("text"), 1, 1))
