@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -159,24 +162,33 @@ def _indexed(vocab: DataFrame) -> DataFrame:
 
 
 def text_vectors(docs: DataFrame, vocab: DataFrame, size: int, key: str, terms: Column) -> DataFrame:
-    """``(key, features)``: sublinear, smooth-idf, unit-length sparse vectors; empty texts included."""
-    counts = term_counts(docs, key, terms)
-    raw = counts.join(F.broadcast(vocab), "term").select(
-        key, "index", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
-    )
-    packed = raw.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("index", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    both = docs.select(key).join(packed, key, "left")
-    empty_i, empty_w = F.array().cast("array<int>"), F.array().cast("array<double>")
-    return both.select(
-        key,
-        sparse_vector(
-            F.lit(size),
-            F.coalesce(F.col("e.index"), empty_i),
-            F.coalesce(F.transform(F.col("e.w"), lambda w: w / F.col("norm")), empty_w),
-        ).alias("features"),
-    )
+    """``(key, features)``: sublinear, smooth-idf, unit-length sparse vectors; empty texts included.
+
+    The terms of a text are counted where the text is: no row is made per term, and nothing is shuffled. The bounded vocabulary
+    reaches the driver once.
+    """
+    rows = vocab.select("index", "term", "idf").toArrow().sort_by("index")
+    known, index, idf = (rows.column(c).combine_chunks() for c in ("term", "index", "idf"))
+    index, idf = index.to_numpy(), idf.to_numpy()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            place = pc.index_in(lists.flatten().cast(known.type), value_set=known)
+            place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), sizes)[place >= 0]
+            at, tf = np.unique(row * max(len(known), 1) + place[place >= 0], return_counts=True)
+            row, place = at // max(len(known), 1), at % max(len(known), 1)
+            w = (1 + np.log(tf)) * idf[place]
+            w /= np.sqrt(np.bincount(row, w * w, minlength=len(lists)))[row]
+            ends = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+            parts = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (index[place].astype(np.int32), w)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *parts], [key, "index", "w"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    weighed = docs.select(key, terms.alias("terms")).mapInArrow(weigh, f"`{key}` {kind}, index array<int>, w array<double>")
+    return weighed.select(key, sparse_vector(F.lit(size), "index", "w").alias("features"))
 
 
 @dataclass
