@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convsignals.operators.behavior import behavioral_features
+from convsignals.plans.catalog import streams
 from convsignals.streaming import intake, running
 
 SCHEMA = "row_id long, conversation_id long, pos int, role string, text string"
@@ -209,3 +210,12 @@ def test_plans_of_a_batch_stay_small(spark, monkeypatch):
     monkeypatch.setattr(intake, "stored", watched)
     plans.append(len(intake.judge_batch(batch, index)._jdf.queryExecution().toString()))
     assert max(plans) < 100_000, plans
+
+
+def test_turns_beyond_a_thousand_are_told_apart(spark, tmp_path):
+    """Turn 3000 of conversation 0 and turn 0 of conversation 3 have one number and come in one batch; one's reason became the other's."""
+    near = "where is the large red parcel that was sent on monday morning"
+    rows = [(0, 0, "user", near), (0, 3000, "user", near + " x"), (3, 0, "user", "an entirely different question about nothing like it")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in streams.incremental_accept(spark, str(tmp_path)).collect())
+    assert got == [(0, "accepted"), (3000, "accepted"), (3000, "fuzzy_in_batch")]
